@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.quality import op6_quality_classifier
 from quern.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_toxicity": op5_toxicity}
+    return {
+        "op5_toxicity": op5_toxicity,
+        "op6_quality_classifier": op6_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

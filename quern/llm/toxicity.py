@@ -89,10 +89,18 @@ class KneserNeyPair:
 
 
 def _counts(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Previous and current word of every distinct run of three words.
+
+    So a pair counts once for each word that it follows, and copies of a text count once.
+    """
     prev = np.empty_like(word)
     prev[1:] = word[:-1]
     prev[at[:-1][np.diff(at) > 0]] = _START
-    return prev, word
+    older = np.empty_like(word)
+    older[1:] = prev[:-1]
+    older[at[:-1][np.diff(at) > 0]] = _START
+    first = np.unique(_pair(_pair(older, prev), word), return_index=True)[1]
+    return prev[first], word[first]
 
 
 def _lookup(keys: np.ndarray, counts: np.ndarray, probe: np.ndarray) -> np.ndarray:
