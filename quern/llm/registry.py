@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.jaccard import op10_ngram_jaccard_join
 from quern.llm.quality import op6_quality_classifier
 from quern.llm.toxicity import op5_toxicity
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_toxicity": op5_toxicity,
         "op6_quality_classifier": op6_quality_classifier,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
