@@ -12,8 +12,9 @@ Two rounds of verification follow, each on whole sets:
 1. leaders: every class with its group's leader, every group with its best partner, and in a
    bucket of more than ``BUCKET`` groups every group with the one whose prefix reaches the
    bucket's shingle first;
-2. the rest: every other pair of classes that passed the filters and that the links of round 1
-   have not already joined.  A pair of one component cannot change the components.
+2. the rest: every other pair of classes that the links of round 1 have not already joined, in
+   pairs where few groups share a shingle, in square blocks where many do.  A pair of one
+   component cannot change the components.
 
 So the components are exact, whatever the sizes of buckets and groups, and a group of near
 copies costs a number of comparisons in proportion to its size as long as its members join.
@@ -39,6 +40,8 @@ from quern.sources.workspace import Workspace
 
 #: Groups in a bucket that are compared pair by pair in round 1.
 BUCKET = 24
+#: Rows on each side of a block of a family.
+SIDE = 256
 #: A shingle in more prefixes than this comes last in the order.
 COMMON = 24
 #: Shingles of that kind that are sent to the workers (8 bytes each); any choice is right.
@@ -109,7 +112,7 @@ def _bucket_pairs(t: Fraction):
     """Pairs of groups from rows sorted by shingle, position and group.
 
     Kind 0 is a pair of a small bucket, kind 1 a group of a large bucket with its leader (the
-    first row), kind 2 a row of a large bucket itself (b = shingle, with size and position).
+    first row), kind 2 a row of a large bucket itself (b = its leader).
     Buckets may span batches; a large one is never held.
     """
 
@@ -135,7 +138,7 @@ def _bucket_pairs(t: Fraction):
         sizes = (np.minimum(n, lead[2]) * t.denominator >= np.maximum(n, lead[2]) * t.numerator)[ok]
         zero = np.zeros(int(sizes.sum()), dtype=np.int32)
         yield a[sizes], b[sizes], zero, zero, zero, 1
-        yield g, w, n, np.zeros(len(g), dtype=np.int32), pos, 2
+        yield g, np.full(len(g), lead[1]), n, np.zeros(len(g), dtype=np.int32), pos, 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, lead = None, None
@@ -215,6 +218,44 @@ def _linked(t: Fraction):
     return run
 
 
+def _block_links(t: Fraction):
+    """Pairs of different labels with a link between the left and the right rows of a block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table["left"].to_numpy()
+        label = table["l"].to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["set"]]
+        size = np.array([len(x) for x in sets])
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        if not len(x) or not len(y):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        word, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        # only shingles that both sides hold can be in an intersection
+        of_left = np.repeat(left, size)
+        both = (np.bincount(at[of_left], minlength=len(word)) > 0) & (np.bincount(at[~of_left], minlength=len(word)) > 0)
+        column = np.cumsum(both) - 1
+        keep = both[at]
+        row, at, of_left = row[keep], column[at[keep]], of_left[keep]
+        place = np.zeros(len(sets), dtype=np.int64)
+        place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+        common = np.zeros((len(x), len(y)), dtype=np.float32)
+        step = 8192
+        for c in range(0, int(both.sum()), step):
+            here = (at >= c) & (at < c + step)
+            a, b = np.zeros((len(x), step), dtype=np.float32), np.zeros((len(y), step), dtype=np.float32)
+            a[place[row[here & of_left]], at[here & of_left] - c] = 1
+            b[place[row[here & ~of_left]], at[here & ~of_left] - c] = 1
+            common += a @ b.T
+        common = common.astype(np.int64)
+        linked = (t.denominator * common >= t.numerator * (size[x][:, None] + size[y][None, :] - common)) & (label[x][:, None] != label[y][None, :])
+        i, j = np.nonzero(linked)
+        pairs = np.unique(np.column_stack([np.minimum(label[x][i], label[y][j]), np.maximum(label[x][i], label[y][j])]), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
 class JaccardJoin:
     """Components of the graph that links documents of Jaccard ``threshold`` or more.
 
@@ -234,6 +275,35 @@ class JaccardJoin:
         ws.drop(f"{name}-sets")
         return links
 
+    def _families(self, found: DataFrame, named: DataFrame, of_group: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
+        """Links between the labels of a family, by its whole sets.
+
+        A family is a group, or all groups in large buckets of one leader.  Of a link between
+        two labels one end, at least, is not of the family's main label; those are compared with
+        all others in square blocks.  A block gives one link for each two labels at most.
+        """
+        rows = found.where("kind = 2").select(F.col("b").alias("f"), F.col("a").alias("g")).distinct().join(named, "g").select(F.lit(0).alias("kind"), "f", "c", "l")
+        own = of_group.where("lo <> hi").select("g").join(named, "g").select(F.lit(1).alias("kind"), F.col("g").alias("f"), "c", "l")
+        rows = rows.unionByName(own)
+        labels = rows.groupBy("kind", "f", "l").count()
+        mixed = labels.groupBy("kind", "f").agg(F.max_by("l", F.struct("count", "l")).alias("most"), F.max("count").alias("main"), F.sum("count").alias("all")).where("main < all")
+        side = lambda n: F.ceil(F.col(n) / F.lit(SIDE)).cast("int")
+        rows = rows.join(mixed, ["kind", "f"]).withColumn("rows", side("all")).withColumn("columns", F.ceil((F.col("all") - F.col("main")) / F.lit(SIDE)).cast("int"))
+        rows = ws.save(rows.select("kind", "f", "c", "l", (F.col("l") != F.col("most")).alias("odd"), "rows", "columns"), "mixed")
+        nodes = rows.select(F.col("c").alias("id")).distinct()
+        sets = ws.save(docs.join(nodes, "id", "left_semi").mapInArrow(_set_rows(self.k), "id long, set binary").where(F.length("set") > 0).distinct(), "family-sets")
+        spread = F.xxhash64("c")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.where("odd").withColumn("i", F.pmod(spread, F.col("columns")).cast("int")).withColumn("j", every("rows")).withColumn("left", F.lit(True))
+        right = rows.withColumn("j", F.pmod(spread, F.col("rows")).cast("int")).withColumn("i", every("columns")).withColumn("left", F.lit(False))
+        keys = ["kind", "f", "i", "j"]
+        placed = left.select(*keys, "c", "l", "left").unionByName(right.select(*keys, "c", "l", "left"))
+        filled = placed.join(sets, F.col("c") == F.col("id")).select(*keys, "l", "left", "set")
+        links = filled.groupBy(*keys).applyInArrow(_block_links(self.t), "a long, b long")
+        links = ws.save(links.distinct(), "family-links")
+        ws.drop("family-sets")
+        return links
+
     def components(self, documents: DataFrame, ws: Workspace) -> DataFrame:
         """``(doc_id, n_shingles, component_id)``, one row for every row of ``documents``."""
         spark, t = documents.sparkSession, self.t
@@ -279,32 +349,18 @@ class JaccardJoin:
         links1 = links1.unionByName(of_doc.join(several, "id").select(F.col("id").alias("a"), F.col("c").alias("b")))
         label = connected_components(links1, ws, "cc1")
 
-        # what round 1 left: members of group pairs under different labels
-        named = members.join(label.withColumnRenamed("id", "c"), "c", "left").select("c", "g", F.coalesce("component", "c").alias("l"))
-        named = ws.save(named, "named")
+        # what round 1 left: classes of different labels in one family or in a pair of groups
+        named = ws.save(members.join(label.withColumnRenamed("id", "c"), "c", "left").select("c", "g", F.coalesce("component", "c").alias("l")), "named")
         of_group = named.groupBy("g").agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
-        own = of_group.where("lo <> hi").select(F.col("g").alias("a"), F.col("g").alias("b"))
-        rows = found.where("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("w"), F.col("na").alias("n"), "pos")
-        rows = rows.join(of_group, "g")
-        per_label = rows.groupBy("w", "lo").agg(F.count("*").alias("n_lo"), F.max("hi").alias("hi"))
-        mixed = per_label.groupBy("w").agg(F.min("lo").alias("wlo"), F.max("hi").alias("whi"), F.max_by("lo", F.struct("n_lo", "lo")).alias("most")).where("wlo <> whi")
-        rows = ws.save(rows.join(mixed.select("w", "most"), "w"), "mixed")
-        # in each pair of a mixed bucket one group, at least, is not wholly of the bucket's main label
-        odd = rows.where("lo <> most OR hi <> most").select("w", *(F.col(c).alias(f"x{c}") for c in ("g", "n", "pos", "lo", "hi")))
-        sizes = (F.least("n", "xn") * t.denominator) >= (F.greatest("n", "xn") * t.numerator)
-        bound = F.least(F.col("n") - F.col("pos"), F.col("xn") - F.col("xpos")) + F.least("pos", "xpos")
-        reach = bound * (t.numerator + t.denominator) >= (F.col("n") + F.col("xn")) * t.numerator
-        apart = ~((F.col("lo") == F.col("hi")) & (F.col("xlo") == F.col("xhi")) & (F.col("lo") == F.col("xlo")))
-        late = odd.join(rows, "w").where((F.col("g") != F.col("xg")) & sizes & reach & apart).select(F.least("g", "xg").alias("a"), F.greatest("g", "xg").alias("b"))
+        links2 = self._families(found, named, of_group, docs, ws)
         la, lb = (of_group.select(F.col("g").alias(s), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}")) for s in "ab")
-        early = small.select("a", "b").join(la, "a").join(lb, "b").where("NOT (loa = hia AND lob = hib AND loa = lob)").select("a", "b")
-        pairs = ws.save(early.unionByName(late).unionByName(own).distinct(), "late")
+        early = ws.save(small.select("a", "b").join(la, "a").join(lb, "b").where("NOT (loa = hia AND lob = hib AND loa = lob)").select("a", "b"), "early")
         ma, mb = (named.select(F.col("g").alias(s), F.col("c").alias(f"c{s}"), F.col("l").alias(f"l{s}")) for s in "ab")
-        wide = pairs.join(ma, "a").join(mb, "b").where("la <> lb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        wide = early.join(ma, "a").join(mb, "b").where("la <> lb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         round2 = ws.save(wide.join(round1, ["a", "b"], "left_anti"), "round2")
-        links2 = self._verify(round2, docs, ws, "two")
+        links2 = links2.unionByName(self._verify(round2, docs, ws, "two"))
         final = connected_components(links1.unionByName(links2), ws, "cc2")
-        ws.drop("found", "small", "members", "named", "mixed", "late", "round1", "round2")
+        ws.drop("found", "small", "members", "named", "mixed", "early", "round1", "round2")
 
         result = every.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").join(final.withColumnRenamed("id", "c"), "c", "left")
         component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("c")), "id"))

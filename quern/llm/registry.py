@@ -7,17 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.jaccard import op10_ngram_jaccard_join
+from quern.llm.licences import OP8_SQL, op8_license_scan
+from quern.llm.mixing import OP4_SQL, op4_mixing
+from quern.llm.pieces import op2_sentencepiece
 from quern.llm.quality import op6_quality_classifier
 from quern.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": op2_sentencepiece,
+        "op4_mixing": op4_mixing,
         "op5_toxicity": op5_toxicity,
         "op6_quality_classifier": op6_quality_classifier,
+        "op8_license_scan": op8_license_scan,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mixing": OP4_SQL,
+        "op8_license_scan": OP8_SQL,
+    }
