@@ -41,7 +41,7 @@ from quern.sources.workspace import Workspace
 #: Groups in a bucket that are compared pair by pair in round 1.
 BUCKET = 24
 #: Rows on each side of a block of a family.
-SIDE = 256
+SIDE = 1024
 #: A shingle in more prefixes than this comes last in the order.
 COMMON = 24
 #: Shingles of that kind that are sent to the workers (8 bytes each); any choice is right.
@@ -222,30 +222,32 @@ def _block_links(t: Fraction):
     """Pairs of different labels with a link between the left and the right rows of a block."""
 
     def run(table: pa.Table) -> pa.Table:
-        left = table["left"].to_numpy()
+        left, odd = table["left"].to_numpy(), table["odd"].to_numpy()
         label = table["l"].to_numpy()
         sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["set"]]
         size = np.array([len(x) for x in sets])
-        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        right = ~left
+        if not left.any():
+            left, right = odd, np.ones(len(odd), dtype=bool)
+        x, y = np.flatnonzero(left), np.flatnonzero(right)
         if not len(x) or not len(y):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         word, at = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), size)
         # only shingles that both sides hold can be in an intersection
-        of_left = np.repeat(left, size)
-        both = (np.bincount(at[of_left], minlength=len(word)) > 0) & (np.bincount(at[~of_left], minlength=len(word)) > 0)
+        of_left, of_right = np.repeat(left, size), np.repeat(right, size)
+        both = (np.bincount(at[of_left], minlength=len(word)) > 0) & (np.bincount(at[of_right], minlength=len(word)) > 0)
         column = np.cumsum(both) - 1
         keep = both[at]
-        row, at, of_left = row[keep], column[at[keep]], of_left[keep]
-        place = np.zeros(len(sets), dtype=np.int64)
-        place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+        row, at, of_left, of_right = row[keep], column[at[keep]], of_left[keep], of_right[keep]
+        place_x, place_y = np.cumsum(left) - 1, np.cumsum(right) - 1
         common = np.zeros((len(x), len(y)), dtype=np.float32)
         step = 8192
         for c in range(0, int(both.sum()), step):
             here = (at >= c) & (at < c + step)
             a, b = np.zeros((len(x), step), dtype=np.float32), np.zeros((len(y), step), dtype=np.float32)
-            a[place[row[here & of_left]], at[here & of_left] - c] = 1
-            b[place[row[here & ~of_left]], at[here & ~of_left] - c] = 1
+            a[place_x[row[here & of_left]], at[here & of_left] - c] = 1
+            b[place_y[row[here & of_right]], at[here & of_right] - c] = 1
             common += a @ b.T
         common = common.astype(np.int64)
         linked = (t.denominator * common >= t.numerator * (size[x][:, None] + size[y][None, :] - common)) & (label[x][:, None] != label[y][None, :])
@@ -294,11 +296,12 @@ class JaccardJoin:
         sets = ws.save(docs.join(nodes, "id", "left_semi").mapInArrow(_set_rows(self.k), "id long, set binary").where(F.length("set") > 0).distinct(), "family-sets")
         spread = F.xxhash64("c")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = rows.where("odd").withColumn("i", F.pmod(spread, F.col("columns")).cast("int")).withColumn("j", every("rows")).withColumn("left", F.lit(True))
+        # a family of one block goes there once, its odd rows being the left side
+        left = rows.where("odd AND rows + columns > 2").withColumn("i", F.pmod(spread, F.col("columns")).cast("int")).withColumn("j", every("rows")).withColumn("left", F.lit(True))
         right = rows.withColumn("j", F.pmod(spread, F.col("rows")).cast("int")).withColumn("i", every("columns")).withColumn("left", F.lit(False))
         keys = ["kind", "f", "i", "j"]
-        placed = left.select(*keys, "c", "l", "left").unionByName(right.select(*keys, "c", "l", "left"))
-        filled = placed.join(sets, F.col("c") == F.col("id")).select(*keys, "l", "left", "set")
+        placed = left.select(*keys, "c", "l", "odd", "left").unionByName(right.select(*keys, "c", "l", "odd", "left"))
+        filled = placed.join(sets, F.col("c") == F.col("id")).select(*keys, "l", "odd", "left", "set")
         links = filled.groupBy(*keys).applyInArrow(_block_links(self.t), "a long, b long")
         links = ws.save(links.distinct(), "family-links")
         ws.drop("family-sets")
