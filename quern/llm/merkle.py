@@ -1,8 +1,8 @@
 """Merkle fingerprints of documents, with DataFrame operations only.
 
 A text is a row of sections (parted by blank lines), a section a row of paragraphs (lines), a
-paragraph a row of leaves of up to ``LEAF_WORDS`` words that start anew after the end of a
-sentence.  Digests of leaves make the digest of their paragraph, those the digest of their section, those
+paragraph a row of leaves of up to ``LEAF_WORDS`` words that start anew with each sentence.
+Digests of leaves make the digest of their paragraph, those the digest of their section, those
 the root.  The fingerprint is written as ``root:section(paragraph.leaf.leaf,...)...`` so that
 roots test equality and the differing branches of two fingerprints locate an edit.
 
@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF_WORDS = 6
+LEAF_WORDS = 4
 WIDTH = 8
 BLANK_LINES = r"\n(?:[ \t\r]*\n)+"
-#: Up to six words, the last of which may end a sentence; what stands before the first word goes with it.
-LEAF = r"\s*(?:[^\s.!?]+(?:[.!?]+[^\s.!?]+)*[ \t]*){0,5}[^\s]+|\s+"
+SENTENCE = r"(?<=[.!?])[ \t\r]+"
+LEAF = r"(?:\S++\s*+){1,%d}" % LEAF_WORDS
 SLICE_ROWS = 2000
 
 
@@ -30,47 +30,40 @@ def _digest(c: Column) -> Column:
     return F.substring(F.md5(c.cast("binary")), 1, WIDTH)
 
 
-def leaves(text: Column) -> Column:
-    """Digests of all leaves, as sections of paragraphs."""
-    paragraph = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"({LEAF})"), F.lit(0)), _digest)
-    section = lambda s: F.filter(F.transform(F.split(s, "\n"), paragraph), lambda p: F.size(p) > 0)
-    return F.transform(F.split(text, BLANK_LINES), section)
-
-
-def fingerprint(text: Column) -> Column:
-    """The written tree of a text."""
-    text = F.coalesce(text, F.lit(""))
+def sections(text: Column) -> Column:
+    """The written branches of all sections, in order."""
+    leaf = lambda q: F.transform(F.regexp_extract_all(q, F.lit(LEAF), F.lit(0)), _digest)
+    paragraph = lambda p: F.flatten(F.transform(F.split(p, SENTENCE), leaf))
     branch = lambda p: F.concat(_digest(F.concat_ws("", p)), F.lit("."), F.concat_ws(".", p))
-    sections = F.transform(leaves(text), lambda s: F.transform(s, branch))
-    written = F.transform(sections, lambda s: F.concat(_digest(F.concat_ws(",", s)), F.lit("("), F.concat_ws(",", s), F.lit(")")))
-    # the root covers the text's own digest too, so that equal roots mean equal characters
-    return F.concat(F.sha2(F.concat(F.md5(text.cast("binary")), F.concat_ws("", written)).cast("binary"), 256), F.lit(":"), F.concat_ws("", written))
+    lines = lambda s: F.filter(F.transform(F.split(s, "\n"), paragraph), lambda p: F.size(p) > 0)
+    written = lambda s: F.concat(_digest(F.concat_ws(",", s)), F.lit("("), F.concat_ws(",", s), F.lit(")"))
+    return F.transform(F.transform(F.split(text, BLANK_LINES), lambda s: F.transform(lines(s), branch)), written)
 
 
-def _leaf_list(written: Column) -> Column:
-    """Leaves of a written tree, sorted: those parts of it that follow a dot."""
-    return F.array_sort(F.regexp_extract_all(written, F.lit(r"\.([0-9a-f]{8})"), F.lit(1)))
+def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the written tree of ``text`` as ``name``.
 
-
-def _numbered(leaf: Column) -> Column:
-    """Sorted leaves with their number among equal ones, so that sets count repeats."""
-    first = F.transform(leaf, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(leaf, x) + 1).cast("string")))
-    return F.when(F.size(leaf) == F.size(F.array_distinct(leaf)), leaf).otherwise(first)
+    The root covers the text's own digest too, so that equal roots mean equal characters.
+    """
+    rows = rows.withColumn("_tree", F.concat_ws("", sections(F.coalesce(F.col(text), F.lit("")))))
+    own = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return rows.withColumn(name, F.concat(F.sha2(F.concat(own, F.col("_tree")).cast("binary"), 256), F.lit(":"), F.col("_tree"))).drop("_tree")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 for two written trees."""
-    x, y = _leaf_list(a), _leaf_list(b)
-    total = F.size(x) + F.size(y)
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(total == 0, 0.0).otherwise(2.0 * common(x, y) / total)
+def _with_leaves(rows: DataFrame, written: str, name: str) -> DataFrame:
+    """Add the sorted leaves of a written tree, each with its number among equal ones if any repeat."""
+    rows = rows.withColumn("_l", F.array_sort(F.regexp_extract_all(F.col(written), F.lit(r"\.([0-9a-f]{8})"), F.lit(1))))
+    numbered = F.transform("_l", lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position("_l", x) + 1).cast("string")))
+    plain = F.transform("_l", lambda x: F.concat(x, F.lit("#0")))
+    return rows.withColumn(name, F.when(F.size("_l") == F.size(F.array_distinct("_l")), plain).otherwise(numbered)).drop("_l")
 
 
-def common(x: Column, y: Column) -> Column:
-    """Elements in common of two lists, counted with repeats."""
-    plain = (F.size(x) == F.size(F.array_distinct(x))) & (F.size(y) == F.size(F.array_distinct(y)))
-    kinds = F.array_intersect(x, y)
-    repeated = F.aggregate(kinds, F.lit(0), lambda n, v: n + F.least(F.size(F.filter(x, lambda z: z == v)), F.size(F.filter(y, lambda z: z == v))))
-    return F.when(plain, F.size(kinds)).otherwise(repeated)
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Add the likeness, 0 to 1, of two written trees."""
+    rows = _with_leaves(_with_leaves(rows, a, "_x"), b, "_y")
+    total = F.size("_x") + F.size("_y")
+    value = F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(total == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect("_x", "_y")) / total)
+    return rows.withColumn(name, value).drop("_x", "_y")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -80,8 +73,8 @@ def differing(a: Column, b: Column) -> Column:
     return F.filter(F.transform(of(a), lambda s, i: F.when(F.coalesce(F.get(other, i) != s, F.lit(True)), i)), lambda i: i.isNotNull())
 
 
-def with_next(documents: DataFrame, id_col: str, text_col: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``next``: the text of the following row by (id, text), the first row's after the last.
+def with_next(documents: DataFrame, id_col: str, text_col: str, also: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``next``: the text and ``also`` of the following row by (id, text), the first row's after the last.
 
     Rows are dealt to slices between ids that occur, so a row's neighbour is in its slice or is
     the first of the next, of which each slice gets a copy.  The driver holds one number for
@@ -99,7 +92,7 @@ def with_next(documents: DataFrame, id_col: str, text_col: str, slice_rows: int
     home = F.struct(F.col("_at").alias("at"), F.lit(False).alias("guest"))
     away = F.struct(F.pmod(F.col("_at") - 1, F.lit(len(bounds))).alias("at"), F.lit(True).alias("guest"))
     rows = rows.withColumn("_p", F.explode(F.when(F.array_contains(marked, F.col("_k")), F.array(home, away)).otherwise(F.array(home))))
-    follow = F.lead(F.col(text_col), 1).over(Window.partitionBy("_p.at").orderBy("_p.guest", "_k", F.col(text_col)))
+    follow = F.lead(F.struct(text_col, also), 1).over(Window.partitionBy("_p.at").orderBy("_p.guest", "_k", F.col(text_col)))
     return rows.withColumn("next", follow).where("NOT _p.guest").drop("_k", "_at", "_p")
 
 
@@ -129,6 +122,9 @@ def edited(text: Column, following: Column) -> Column:
 def op9_merkle_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike they and the next document's are."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(documents, "doc_id", "text").withColumn("edited", edited(F.col("text"), F.col("next")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next")).alias("next_fingerprint"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    rows = with_next(with_fingerprint(documents, "text", "fingerprint"), "doc_id", "text", "fingerprint")
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next.text")))
+    rows = with_fingerprint(rows, "edited", "edited_fingerprint").withColumn("next_fingerprint", F.col("next.fingerprint"))
+    rows = with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
+    rows = with_likeness(rows, "fingerprint", "next_fingerprint", "near_next")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
