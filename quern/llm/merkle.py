@@ -6,8 +6,8 @@ Digests of leaves make the digest of their paragraph, those the digest of their
 the root.  The fingerprint is written as ``root:section(paragraph.leaf.leaf,...)...`` so that
 roots test equality and the differing branches of two fingerprints locate an edit.
 
-The likeness of two fingerprints is 1 for equal roots and else twice the leaves that they have
-in common, counted with repeats, over all leaves of both.
+The likeness of two fingerprints is 1 for equal roots and else twice the distinct leaves that
+they have in common over the distinct leaves of both.
 
 Null texts count as empty; an empty text has no leaf, and its fingerprint is the root of no
 section.  Texts of the same characters have the same fingerprint, whatever their rows.
@@ -50,20 +50,15 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.concat(F.sha2(F.concat(own, F.col("_tree")).cast("binary"), 256), F.lit(":"), F.col("_tree"))).drop("_tree")
 
 
-def _with_leaves(rows: DataFrame, written: str, name: str) -> DataFrame:
-    """Add the sorted leaves of a written tree, each with its number among equal ones if any repeat."""
-    rows = rows.withColumn("_l", F.array_sort(F.regexp_extract_all(F.col(written), F.lit(r"\.([0-9a-f]{8})"), F.lit(1))))
-    numbered = F.transform("_l", lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position("_l", x) + 1).cast("string")))
-    plain = F.transform("_l", lambda x: F.concat(x, F.lit("#0")))
-    return rows.withColumn(name, F.when(F.size("_l") == F.size(F.array_distinct("_l")), plain).otherwise(numbered)).drop("_l")
+def leaf_set(written: Column) -> Column:
+    """The distinct leaves of a written tree."""
+    return F.array_distinct(F.regexp_extract_all(written, F.lit(r"\.([0-9a-f]{8})"), F.lit(1)))
 
 
-def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Add the likeness, 0 to 1, of two written trees."""
-    rows = _with_leaves(_with_leaves(rows, a, "_x"), b, "_y")
-    total = F.size("_x") + F.size("_y")
-    value = F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(total == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect("_x", "_y")) / total)
-    return rows.withColumn(name, value).drop("_x", "_y")
+def likeness(a: Column, leaves_a: Column, b: Column, leaves_b: Column) -> Column:
+    """0 to 1 for two written trees and their leaves."""
+    total = F.size(leaves_a) + F.size(leaves_b)
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).when(total == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(leaves_a, leaves_b)) / total)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -125,6 +120,6 @@ def op9_merkle_fingerprints(spark, sf_dir: str) -> DataFrame:
     rows = with_next(with_fingerprint(documents, "text", "fingerprint"), "doc_id", "text", "fingerprint")
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next.text")))
     rows = with_fingerprint(rows, "edited", "edited_fingerprint").withColumn("next_fingerprint", F.col("next.fingerprint"))
-    rows = with_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
-    rows = with_likeness(rows, "fingerprint", "next_fingerprint", "near_next")
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    rows = rows.withColumn("x", leaf_set(F.col("fingerprint"))).withColumn("y", leaf_set(F.col("edited_fingerprint"))).withColumn("z", leaf_set(F.col("next_fingerprint")))
+    near = {name: likeness(F.col("fingerprint"), F.col("x"), F.col(f"{name}_fingerprint"), F.col(leaf)).alias(f"near_{name}") for name, leaf in (("edited", "y"), ("next", "z"))}
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near["edited"], near["next"])
