@@ -68,8 +68,8 @@ def differing(a: Column, b: Column) -> Column:
     return F.filter(F.transform(of(a), lambda s, i: F.when(F.coalesce(F.get(other, i) != s, F.lit(True)), i)), lambda i: i.isNotNull())
 
 
-def with_next(documents: DataFrame, id_col: str, text_col: str, also: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``next``: the text and ``also`` of the following row by (id, text), the first row's after the last.
+def with_next(documents: DataFrame, id_col: str, text_col: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``next``: the text of the following row by (id, text), the first row's after the last.
 
     Rows are dealt to slices between ids that occur, so a row's neighbour is in its slice or is
     the first of the next, of which each slice gets a copy.  The driver holds one number for
@@ -87,7 +87,7 @@ def with_next(documents: DataFrame, id_col: str, text_col: str, also: str, slice
     home = F.struct(F.col("_at").alias("at"), F.lit(False).alias("guest"))
     away = F.struct(F.pmod(F.col("_at") - 1, F.lit(len(bounds))).alias("at"), F.lit(True).alias("guest"))
     rows = rows.withColumn("_p", F.explode(F.when(F.array_contains(marked, F.col("_k")), F.array(home, away)).otherwise(F.array(home))))
-    follow = F.lead(F.struct(text_col, also), 1).over(Window.partitionBy("_p.at").orderBy("_p.guest", "_k", F.col(text_col)))
+    follow = F.lead(F.col(text_col), 1).over(Window.partitionBy("_p.at").orderBy("_p.guest", "_k", F.col(text_col)))
     return rows.withColumn("next", follow).where("NOT _p.guest").drop("_k", "_at", "_p")
 
 
@@ -117,9 +117,10 @@ def edited(text: Column, following: Column) -> Column:
 def op9_merkle_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how alike they and the next document's are."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(documents, "text", "fingerprint"), "doc_id", "text", "fingerprint")
-    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next.text")))
-    rows = with_fingerprint(rows, "edited", "edited_fingerprint").withColumn("next_fingerprint", F.col("next.fingerprint"))
+    # only texts are shuffled: a tree is quickly made again
+    rows = with_next(documents, "doc_id", "text").withColumn("edited", edited(F.col("text"), F.col("next")))
+    for text, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next", "next_fingerprint")):
+        rows = with_fingerprint(rows, text, name)
     rows = rows.withColumn("x", leaf_set(F.col("fingerprint"))).withColumn("y", leaf_set(F.col("edited_fingerprint"))).withColumn("z", leaf_set(F.col("next_fingerprint")))
     near = {name: likeness(F.col("fingerprint"), F.col("x"), F.col(f"{name}_fingerprint"), F.col(leaf)).alias(f"near_{name}") for name, leaf in (("edited", "y"), ("next", "z"))}
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near["edited"], near["next"])
