@@ -38,7 +38,7 @@ def windows(seqs: DataFrame, ks, sequence: str = "sequence") -> DataFrame:
     out = None
     for k in check_ks(ks):
         starts = F.when(F.length(sequence) >= k, F.sequence(F.lit(0), F.length(sequence) - k))
-        cut = seqs.withColumn(sequence, B.normal(F.col(sequence))).withColumn("position", F.explode(starts).cast("long"))
+        cut = seqs.withColumn(sequence, B.normal(F.col(sequence))).withColumn("position", F.explode(starts.cast("array<long>")))
         cut = cut.withColumn("k", F.lit(k)).withColumn("word", F.substring(F.col(sequence), (F.col("position") + 1).cast("int"), F.lit(k))).drop(sequence)
         cut = cut.where(B.is_kmer(F.col("word")))
         if k == B.MAX_K:
