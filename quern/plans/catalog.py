@@ -163,12 +163,17 @@ ORACLES: dict[str, str] = {
     "seed_tasks": _sql() + "SELECT query_id, k, seed, occurrence_count, first_position, round(information, 6) AS information FROM task",
     "kmer_dictionary": _sql() + "SELECT k, seed, df AS document_frequency, cf AS collection_frequency, bytes AS estimated_posting_bytes, cls AS frequency_class FROM classed",
     "layer_summary": _sql() + "SELECT k, count(*)::BIGINT AS distinct_seeds, sum(cf)::BIGINT AS postings, sum(bytes)::BIGINT AS posting_bytes, max(cf) AS max_cf, max(df) AS max_df, " + ", ".join(f"count(*) FILTER (WHERE cls = {i})::BIGINT AS {c}_seeds" for i, c in enumerate(B.CLASS_LABELS)) + " FROM classed GROUP BY k",
-    "per_k_counters": _sql() + "SELECT q.query_id, q.k, q.g AS seeds_generated, coalesce(t.c, 0)::BIGINT AS seeds_queried, coalesce(t.b, 0)::BIGINT AS exact_bytes_read, coalesce(t.p, 0)::BIGINT AS postings_decoded FROM (SELECT qs.query_id, ks.k::BIGINT AS k, (SELECT count(*) FROM qocc WHERE qocc.query_id = qs.query_id AND qocc.k = ks.k)::BIGINT AS g FROM qs CROSS JOIN (SELECT unnest([11, 15]) AS k) ks) q LEFT JOIN (SELECT query_id, k, count(*) AS c, sum(bytes) AS b, sum(cf) AS p FROM task GROUP BY query_id, k) t USING (query_id, k)",
-    "search_counters": _sql() + """, touched AS (SELECT query_id, count(*)::BIGINT AS c FROM (SELECT DISTINCT t.query_id, o.document_id, o.strand FROM task t JOIN occ o USING (k, seed) WHERE t.cf <= 40) GROUP BY query_id)
-SELECT qs.query_id, (SELECT count(*) FROM qocc WHERE qocc.query_id = qs.query_id)::BIGINT AS seeds_generated,
- (SELECT count(*) FROM task t WHERE t.query_id = qs.query_id AND cf <= 40)::BIGINT AS seeds_queried, (SELECT coalesce(sum(occurrence_count), 0) FROM task t WHERE t.query_id = qs.query_id AND cf > 40)::BIGINT AS seeds_skipped_hot,
- (SELECT coalesce(sum(bytes), 0) FROM task t WHERE t.query_id = qs.query_id AND cf <= 40)::BIGINT AS exact_bytes_read, (SELECT coalesce(sum(cf), 0) FROM task t WHERE t.query_id = qs.query_id AND cf <= 40)::BIGINT AS postings_decoded,
- coalesce(touched.c, 0)::BIGINT AS candidates_created, false AS early_stop_fired, 'none' AS early_stop_rule FROM qs LEFT JOIN touched USING (query_id)""",
+    "per_k_counters": _sql() + """, g AS (SELECT query_id, k, count(*) AS g FROM qocc GROUP BY query_id, k),
+t AS (SELECT query_id, k, count(*) AS c, sum(bytes) AS b, sum(cf) AS p FROM task GROUP BY query_id, k),
+ks AS (SELECT unnest([11, 15])::BIGINT AS k)
+SELECT query_id, k, coalesce(g, 0)::BIGINT AS seeds_generated, coalesce(c, 0)::BIGINT AS seeds_queried, coalesce(b, 0)::BIGINT AS exact_bytes_read, coalesce(p, 0)::BIGINT AS postings_decoded
+FROM qs CROSS JOIN ks LEFT JOIN g USING (query_id, k) LEFT JOIN t USING (query_id, k)""",
+    "search_counters": _sql() + """, touched AS (SELECT query_id, count(*) AS c FROM (SELECT DISTINCT t.query_id, o.document_id, o.strand FROM task t JOIN occ o USING (k, seed) WHERE t.cf <= 40) GROUP BY query_id),
+g AS (SELECT query_id, count(*) AS g FROM qocc GROUP BY query_id),
+t AS (SELECT query_id, count(*) FILTER (WHERE cf <= 40) AS q, sum(occurrence_count) FILTER (WHERE cf > 40) AS h, sum(bytes) FILTER (WHERE cf <= 40) AS b, sum(cf) FILTER (WHERE cf <= 40) AS p FROM task GROUP BY query_id)
+SELECT query_id, coalesce(g, 0)::BIGINT AS seeds_generated, coalesce(q, 0)::BIGINT AS seeds_queried, coalesce(h, 0)::BIGINT AS seeds_skipped_hot, coalesce(b, 0)::BIGINT AS exact_bytes_read,
+ coalesce(p, 0)::BIGINT AS postings_decoded, coalesce(touched.c, 0)::BIGINT AS candidates_created, false AS early_stop_fired, 'none' AS early_stop_rule
+FROM qs LEFT JOIN g USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN touched USING (query_id)""",
     "canonical_kmers": _sql((15,)) + "SELECT document_id, position, seed, strand, list_reduce(list_transform(string_split(translate(seed, 'ACGT', '0123'), ''), lambda c: c::BIGINT), lambda a, c: a * 4 + c) AS code FROM occ",
     "base_composition": "SELECT doc_id AS document_id, length(s)::BIGINT AS length, " + ", ".join(f"(length(s) - length(replace(s, '{b}', '')))::BIGINT AS n_{b.lower()}" for b in "ACGT") + ", reverse(translate(substr(s, 1, 20), 'ACGT', 'TGCA')) AS head_rc FROM (SELECT doc_id, translate(regexp_replace(text, '[^ACGTacgt]', '', 'g'), 'acgt', 'ACGT') AS s FROM documents)",
 }
