@@ -37,7 +37,8 @@ def sections(text: Column) -> Column:
     branch = lambda p: F.concat(_digest(F.concat_ws("", p)), F.lit("."), F.concat_ws(".", p))
     lines = lambda s: F.filter(F.transform(F.split(s, "\n"), paragraph), lambda p: F.size(p) > 0)
     written = lambda s: F.concat(_digest(F.concat_ws(",", s)), F.lit("("), F.concat_ws(",", s), F.lit(")"))
-    return F.transform(F.transform(F.split(text, BLANK_LINES), lambda s: F.transform(lines(s), branch)), written)
+    full = F.filter(F.transform(F.split(text, BLANK_LINES), lambda s: F.transform(lines(s), branch)), lambda s: F.size(s) > 0)
+    return F.transform(full, written)
 
 
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
