@@ -155,13 +155,15 @@ _open: dict[str, DigestArray] = {}
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], ws: Workspace, url: str = "url", default: str = "allow") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to ``pages``; other columns stay in the JVM."""
     data = build(rules)
-    name = f"digests-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    # a session registers a file name once, and this call's file lies in this call's folder
+    name = f"digests-{hashlib.sha256(ws.root.encode() + data).hexdigest()[:16]}.bin"
     pages.sparkSession.sparkContext.addFile(ws.write_bytes(name, (data[i : i + (1 << 20)] for i in range(0, len(data), 1 << 20))))
 
     @F.arrow_udf("struct<rule:string,verdict:string>")
     def judged(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         array = _open.get(name)
         if array is None:
+            _open.clear()
             array = _open[name] = DigestArray(SparkFiles.get(name))
         for host, path in pairs:
             rule, verdict = array.judge(host.cast(pa.binary()).to_pylist(), path.cast(pa.binary()).to_pylist())
