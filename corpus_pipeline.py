@@ -54,8 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document: ``doc_id, lang, source, n_tokens, ids``."""
     ship(spark)
-    ids = pieces.encode_column(docs, pieces.read_model())
-    return docs.withColumn("ids", ids).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return pieces.encode_rows(docs, pieces.read_model(), ["doc_id", "lang", "source"])
 
 
 STAGES = [

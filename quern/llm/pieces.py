@@ -16,9 +16,11 @@ as bytes.  Null texts count as empty and have no ids.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 KEPT_WORDS = 200_000
 KEPT_LENGTH = 48
+BLOCK_CHARS = 1 << 21
 
 
 def _fields(data: bytes):
@@ -103,32 +106,30 @@ class PieceModel:
         #: Line feeds are in no piece, so a line is a row of words of its own.
         self.by_line = "\n" not in self.inner
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind in (2, 3) else p.replace(BLANK, " ").encode() for p, _, kind in self.pieces]
-        self.blank_bytes = tuple(self.byte_ids[b] for b in BLANK.encode())
-        self.line_feed = self.byte_ids[10]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def viterbi(self, word: str) -> tuple[int, ...]:
+        self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.table = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.blank_bytes = np.array([self.byte_ids[b] for b in BLANK.encode()], dtype=np.int32).tobytes()
+        self.line_feed = np.array([self.byte_ids[10]], dtype=np.int32).tobytes()
+        self.known: dict[str, bytes] = {}
+
+    def viterbi(self, word: str) -> list[int]:
         """Ids of the best path through ``word`` (blanks already replaced)."""
         n = len(word)
         best, start, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        known = self.single.issuperset(word)
         done = 0
-
-        def settle(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                done += 1
-                if word[done - 1] not in self.single and best[done - 1] + self.unknown > best[done]:
-                    best[done], start[done], piece[done] = best[done - 1] + self.unknown, done - 1, -1
-
         for last, (size, score, i) in self.automaton.iter(word):
             end = last + 1
-            if end > done + 1:
-                settle(end - 1)
+            if not known and end > done + 1:
+                self._unknown(word, best, start, piece, done, end - 1)
+                done = end - 1
             begin = end - size
             score += best[begin]
             if score > best[end]:
                 best[end], start[end], piece[end] = score, begin, i
-        settle(n)
+        if not known:
+            self._unknown(word, best, start, piece, done, n)
         out: list[int] = []
         at = n
         while at:
@@ -137,57 +138,68 @@ class PieceModel:
             else:
                 out.extend(self.byte_ids[b] for b in reversed(word[start[at] : at].encode()))
             at = start[at]
-        return tuple(reversed(out))
+        out.reverse()
+        return out
 
-    def _learn(self, word: str) -> tuple[int, ...]:
-        ids = self.viterbi(word)
+    def _unknown(self, word: str, best: list, start: list, piece: list, done: int, upto: int) -> None:
+        """Let characters that are no pieces reach the ends from ``done + 1`` to ``upto``."""
+        for end in range(done + 1, upto + 1):
+            if word[end - 1] not in self.single and best[end - 1] + self.unknown > best[end]:
+                best[end], start[end], piece[end] = best[end - 1] + self.unknown, end - 1, -1
+
+    def _learn(self, word: str) -> bytes:
+        ids = np.array(self.viterbi(word), dtype=np.int32).tobytes()
         if len(word) <= KEPT_LENGTH:
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
             self.known[word] = ids
         return ids
 
-    def _blanked(self, text: str, out: list[int]) -> None:
-        """Append the ids of a text whose blanks are replaced."""
-        known = self.known
-        for word in re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", text):
-            out.extend(known.get(word) or self._learn(word))
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text."""
-        out: list[int] = []
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers in a row."""
+        out: list[bytes] = []
         if not text:
-            return out
-        known, extend = self.known, out.extend
+            return b""
+        get, learn = self.known.get, self._learn
         lead = BLANK
         for j, part in enumerate(text.split(BLANK)):
             if j:
-                extend(self.blank_bytes)
-            lines = part.split("\n") if self.by_line else [part]
-            for k, line in enumerate(lines):
+                out.append(self.blank_bytes)
+            for k, line in enumerate(part.split("\n") if self.by_line else [part]):
                 if k:
                     out.append(self.line_feed)
                 # a blank before the text, none before a later line
                 blanked = lead + line.replace(" ", BLANK)
                 lead = ""
                 if BLANK + BLANK in blanked:
-                    self._blanked(blanked, out)
-                    continue
-                head, *words = blanked.split(BLANK)
-                if head:
-                    extend(known.get(head) or self._learn(head))
-                if words and words[-1] == "":
-                    words[-1:] = []
-                    tail = True
+                    words = re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", blanked)
                 else:
-                    tail = False
-                for word in words:
-                    word = BLANK + word
-                    ids = known.get(word)
-                    extend(ids if ids is not None else self._learn(word))
-                if tail:
-                    extend(known.get(BLANK) or self._learn(BLANK))
-        return out
+                    head, *rest = blanked.split(BLANK)
+                    words = [BLANK + word for word in rest]
+                    if head:
+                        words.insert(0, head)
+                out += [get(word) or learn(word) for word in words]
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text."""
+        return np.frombuffer(self.encode_bytes(text), dtype=np.int32).tolist()
+
+    def decode_lists(self, ids: np.ndarray, off: np.ndarray) -> pa.Array:
+        """The texts of lists of ids side by side (``off``: where each starts, and the end)."""
+        size = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        at = np.arange(ends[-1], dtype=np.int64)
+        at += np.repeat(self.starts[ids] - ends[:-1], size)
+        raw = self.table[at]
+        # the blank before each text goes
+        cut = ends[off]
+        told = np.diff(cut) > 0
+        stay = np.ones(len(raw), dtype=bool)
+        stay[cut[:-1][told]] = False
+        offsets = cut - np.concatenate([[0], np.cumsum(told)])
+        raw = np.ascontiguousarray(raw[stay])
+        return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw))
 
     def decode(self, ids) -> str:
         """The text of ids that ``encode`` made."""
@@ -199,18 +211,43 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode_column(frame: DataFrame, model: bytes, text: str = "text") -> Column:
-    """Ids of a text column; the model's file is read by the driver only."""
+def encode_rows(frame: DataFrame, model: bytes, keep: list[str], text: str = "text", check: bool = False) -> DataFrame:
+    """``keep``, ``n_tokens`` and ``ids`` of every row; the model's file is read by the driver only.
+
+    With ``check`` also ``round_trip``: whether the ids decode to the text.  Rows go through in
+    blocks of about ``BLOCK_CHARS`` characters of text (a longer text is a block), so memory does
+    not follow the size of an Arrow batch.
+    """
     sent = frame.sparkSession.sparkContext.broadcast(model)
+    given = frame.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+
+    def block(own: PieceModel, columns: list[pa.Array], texts: pa.Array) -> pa.RecordBatch:
+        parts = [own.encode_bytes(t) for t in texts.to_pylist()]
+        off = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]) // 4
+        ids = np.frombuffer(b"".join(parts), dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))
+        more = [pa.array(np.diff(off), pa.int64()), lists]
+        if check:
+            more.append(pc.equal(own.decode_lists(ids, off), texts.cast(pa.large_string())))
+        return pa.RecordBatch.from_arrays([*columns, *more], names=names)
+
+    names = [*keep, "n_tokens", "ids", *(["round_trip"] if check else [])]
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _shared(sent.value)
-        parts = [np.array(own.encode(t or ""), dtype=np.int32) for t in texts.to_pylist()]
-        off = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)))
+        for batch in batches:
+            texts = batch.column(len(keep))
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            row = 0
+            while row < len(texts):
+                before = sizes[row - 1] if row else 0
+                end = max(row + 1, int(np.searchsorted(sizes, before + BLOCK_CHARS, side="right")))
+                columns = [batch.column(i).slice(row, end - row) for i in range(len(keep))]
+                yield block(own, columns, texts.slice(row, end - row))
+                row = end
 
-    return encode(F.col(text))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(encode, f"{kept}, n_tokens long, ids array<int>" + (", round_trip boolean" if check else ""))
 
 
 def decode_column(frame: DataFrame, model: bytes, ids: str = "ids") -> Column:
@@ -239,7 +276,4 @@ def _shared(data: bytes) -> PieceModel:
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Every document's ids and whether they decode to its text: ``doc_id, n_tokens, ids, round_trip``."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = read_model()
-    encoded = documents.select("doc_id", "text", encode_column(documents, model).alias("ids"))
-    back = decode_column(documents, model)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (back == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encode_rows(documents, read_model(), ["doc_id"], check=True)
