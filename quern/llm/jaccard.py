@@ -190,41 +190,31 @@ def _bucket_pairs(t: Fraction):
     return run
 
 
-def _set_rows(k: int):
-    """Id and the set of every text, as bytes of sorted hashes."""
+def _linked(k: int, t: Fraction):
+    """The pairs whose texts' sets are linked."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for s in _sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.binary())], names=["id", "set"])
-
-    return run
-
-
-def _linked(t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            for x, y in zip(_sets(batch.column(2), k), _sets(batch.column(3), k), strict=True):
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
-                keep.append(t.denominator * both >= t.numerator * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+                keep.append(both > 0 and t.denominator * both >= t.numerator * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     return run
 
 
-def _block_links(t: Fraction):
+def _block_links(k: int, t: Fraction):
     """Pairs of different labels with a link between the left and the right rows of a block."""
 
     def run(table: pa.Table) -> pa.Table:
         left, odd = table["left"].to_numpy(), table["odd"].to_numpy()
         label = table["l"].to_numpy()
-        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["set"]]
+        sets = [s for chunk in table["text"].chunks for s in _sets(chunk, k)]
         size = np.array([len(x) for x in sets])
         right = ~left
         if not left.any():
@@ -250,7 +240,7 @@ def _block_links(t: Fraction):
             b[place_y[row[here & of_right]], at[here & of_right] - c] = 1
             common += a @ b.T
         common = common.astype(np.int64)
-        linked = (t.denominator * common >= t.numerator * (size[x][:, None] + size[y][None, :] - common)) & (label[x][:, None] != label[y][None, :])
+        linked = (common > 0) & (t.denominator * common >= t.numerator * (size[x][:, None] + size[y][None, :] - common)) & (label[x][:, None] != label[y][None, :])
         i, j = np.nonzero(linked)
         pairs = np.unique(np.column_stack([np.minimum(label[x][i], label[y][j]), np.maximum(label[x][i], label[y][j])]), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
@@ -270,11 +260,10 @@ class JaccardJoin:
     def _verify(self, pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> DataFrame:
         """The pairs (distinct) that are links, by their whole sets."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = docs.join(nodes, "id", "left_semi").mapInArrow(_set_rows(self.k), "id long, set binary").where(F.length("set") > 0).distinct()
-        sets = ws.save(sets, f"{name}-sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        links = ws.save(both.select("a", "b", "x", "y").mapInArrow(_linked(self.t), "a long, b long"), f"{name}-links")
-        ws.drop(f"{name}-sets")
+        texts = ws.save(docs.join(nodes, "id", "left_semi").distinct(), f"{name}-texts")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        links = ws.save(both.select("a", "b", "x", "y").mapInArrow(_linked(self.k, self.t), "a long, b long"), f"{name}-links")
+        ws.drop(f"{name}-texts")
         return links
 
     def _families(self, found: DataFrame, named: DataFrame, of_group: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -293,7 +282,7 @@ class JaccardJoin:
         rows = rows.join(mixed, ["kind", "f"]).withColumn("rows", side("all")).withColumn("columns", F.ceil((F.col("all") - F.col("main")) / F.lit(SIDE)).cast("int"))
         rows = ws.save(rows.select("kind", "f", "c", "l", (F.col("l") != F.col("most")).alias("odd"), "rows", "columns"), "mixed")
         nodes = rows.select(F.col("c").alias("id")).distinct()
-        sets = ws.save(docs.join(nodes, "id", "left_semi").mapInArrow(_set_rows(self.k), "id long, set binary").where(F.length("set") > 0).distinct(), "family-sets")
+        texts = ws.save(docs.join(nodes, "id", "left_semi").distinct(), "family-texts")
         spread = F.xxhash64("c")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         # a family of one block goes there once, its odd rows being the left side
@@ -301,10 +290,10 @@ class JaccardJoin:
         right = rows.withColumn("j", F.pmod(spread, F.col("rows")).cast("int")).withColumn("i", every("columns")).withColumn("left", F.lit(False))
         keys = ["kind", "f", "i", "j"]
         placed = left.select(*keys, "c", "l", "odd", "left").unionByName(right.select(*keys, "c", "l", "odd", "left"))
-        filled = placed.join(sets, F.col("c") == F.col("id")).select(*keys, "l", "odd", "left", "set")
-        links = filled.groupBy(*keys).applyInArrow(_block_links(self.t), "a long, b long")
+        filled = placed.join(texts, F.col("c") == F.col("id")).select(*keys, "l", "odd", "left", "text")
+        links = filled.groupBy(*keys).applyInArrow(_block_links(self.k, self.t), "a long, b long")
         links = ws.save(links.distinct(), "family-links")
-        ws.drop("family-sets")
+        ws.drop("family-texts")
         return links
 
     def components(self, documents: DataFrame, ws: Workspace) -> DataFrame:
