@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, and the same in SQL.
 
-Sequences are the letters A, C, G and T of each document's text; queries are the first 150 bases
-of the documents whose id leaves 7 when divided by 50, as a stated query set.
+Sequences are the letters A, C, G and T of each document's text; queries are the
+whole sequences of the documents whose id is divisible by 100, as a stated query set.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_of(seqs: DataFrame) -> DataFrame:
-    return seqs.where("document_id % 50 = 7").select("document_id", F.col("name").alias("query_id"), F.substring("sequence", 1, 150).alias("sequence"))
+    return seqs.where("document_id % 100 = 0").select("document_id", F.col("name").alias("query_id"), "sequence")
 
 
 def _index(spark: SparkSession, sf_dir: str, ks=KS) -> tuple[Index, DataFrame]:
@@ -136,7 +136,7 @@ sized AS (SELECT *, {vlen('(document_id - coalesce(pd, 0))')} + {vlen('(CASE WHE
 dict AS (SELECT k, seed, count(DISTINCT document_id)::BIGINT AS df, count(*)::BIGINT AS cf, sum(b)::BIGINT AS bytes FROM sized GROUP BY k, seed),
 classed AS (SELECT *, CASE WHEN cf <= 2 THEN 0 WHEN cf <= 16 THEN 1 WHEN cf <= 128 THEN 2 ELSE 3 END::BIGINT AS cls FROM dict),
 n AS (SELECT count(*)::DOUBLE AS n FROM seqs),
-qs AS (SELECT 'doc' || document_id AS query_id, document_id AS expected, substr(s, 1, 150) AS s FROM seqs WHERE document_id % 50 = 7),
+qs AS (SELECT 'doc' || document_id AS query_id, document_id AS expected, s FROM seqs WHERE document_id % 100 = 0),
 qocc AS (SELECT query_id, k, position, least(word, rc) AS seed FROM ({occ('qs', 'query_id')})),
 planned AS (SELECT q.*, d.df, d.cf, d.bytes, d.cls, ln((n.n + 1) / (d.df + 1)) * greatest(1, q.k / 15.0::DOUBLE) AS info FROM qocc q CROSS JOIN n LEFT JOIN classed d USING (k, seed)),
 task AS (SELECT query_id, k, seed, count(*)::BIGINT AS occurrence_count, min(position)::BIGINT AS first_position, count(*) * first(info) AS information, first(cf) AS cf, first(bytes) AS bytes, first(cls) AS cls FROM planned WHERE df IS NOT NULL GROUP BY query_id, k, seed)
