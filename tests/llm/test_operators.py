@@ -64,3 +64,13 @@ def test_merkle(spark):
     assert fp[3] == fp[7] != fp[1]
     root = hashlib.sha256(hashlib.md5(b"").hexdigest().encode()).hexdigest()
     assert fp[2] == f"{root}:"
+
+
+def test_encode_rows(spark):
+    rows = [(1, "a  b\n▁c"), (2, None), (3, ""), (None, "漢🙂"), (1, "a  b\n▁c"), (4, "word " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS ids", "'x' AS n_tokens")
+    out = pieces.encode_rows(df, pieces.read_model(), ["doc_id"], check=True).collect()
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
+    model = pieces.PieceModel(pieces.read_model())
+    assert sorted((r["doc_id"] or 0, model.decode(r["ids"])) for r in out) == sorted((i or 0, t or "") for i, t in rows)
+    assert pieces.encode_rows(df.limit(0), pieces.read_model(), ["doc_id"]).collect() == []
