@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Whether Spark deletes the shuffle files of a statement when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the statements inside go when each has ended, not at some later collection.
+
+    Only for statements whose plan nothing runs again, such as the writing of a table that is read
+    in its place.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        spark.conf.set(CLEANUP, "true")
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Workspace:
     """Named scratch tables of one run of an operator."""
 
@@ -43,7 +64,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the written table."""
         path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with freed_shuffles(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
