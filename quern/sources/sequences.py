@@ -8,16 +8,25 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BASIS, PRIME = 1469598103934665603, 1099511628211
 _COLUMNS = ("document_id", "sequence_id", "name", "sequence")
 
 
-def _with_ordinals(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    indexed = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(indexed, "name string, sequence string, ordinal long").select(F.col("ordinal").alias("document_id"), F.col("ordinal").alias("sequence_id"), "name", "sequence")
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with their ordinal, by partition and place; only one count for each partition is shuffled."""
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    counts = tagged.groupBy("_part").agg((F.max(place) + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(counts.select("_part", before.alias("_first")))  # a row for each input partition
+    return tagged.join(first, "_part").withColumn(name, F.col("_first") + place).drop("_id", "_part", "_first")
+
+
+def _with_ordinals(rows: DataFrame) -> DataFrame:
+    return _numbered(rows, "document_id").select("document_id", F.col("document_id").alias("sequence_id"), "name", "sequence")
 
 
 def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -34,7 +43,7 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     if nameless and strict:
         raise ValueError("a FASTA record has no name")
     if not nameless:
-        return _with_ordinals(rows, spark)
+        return _with_ordinals(rows)
     # rare: bases of nameless records move on, in one pass over ordered rows
     moved, carry = [], ""
     for name, sequence in rows.toLocalIterator():
@@ -43,12 +52,12 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFram
             carry = ""
         else:
             carry += sequence
-    return _with_ordinals(spark.createDataFrame(moved, "name string, sequence string"), spark)
+    return _with_ordinals(spark.createDataFrame(moved, "name string, sequence string"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of a strict four-line FASTQ file; qualities are checked and dropped."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, n long")
+    lines = _numbered(spark.read.text(path), "n")
     first = lines.where("value <> ''").agg(F.min("n")).first()[0]
     if first is None:
         return spark.createDataFrame([], "document_id long, sequence_id long, name string, sequence string")
@@ -79,7 +88,7 @@ def write_fasta(records: DataFrame, path: str) -> None:
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, expected_document_ids`` of a truth table; a later row of a query replaces an earlier one."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, n long")
+    lines = _numbered(spark.read.text(path), "n")
     rows = lines.where("value <> '' AND NOT (n = 0 AND startswith(value, 'query_id\t'))").select("n", F.split("value", "\t").alias("p"))
     other = rows.where(F.coalesce(F.get("p", F.lit(1)), F.lit("")) != "exact_retrieval").take(1)
     if other:
@@ -111,3 +120,22 @@ def write_metrics_tsv(metrics: DataFrame, path: str) -> None:
 def parse_name(header: str) -> str:
     """The whole header after ``>`` or ``@``."""
     return re.sub(r"^[>@]", "", header)
+
+
+def write_benchmark_json(summary: DataFrame, path: str, ks, early_stop: str = "off", repeats: int = 1) -> None:
+    """A benchmark's one row as JSON, with what was run; the cache counts as warm."""
+    about = {"schema_version": "0.1.0", "comparison_stage": "exact_retrieval", "cache_mode": "warm", "early_stop_mode": early_stop}
+    fixed = [F.lit(v).alias(c) for c, v in about.items()]
+    summary.select(*fixed, F.lit(repeats).alias("repeats"), F.array(*(F.lit(k) for k in ks)).alias("k_values"), F.struct("*").alias("metrics")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def dump(index, path: str) -> None:
+    """An index as text: its documents, sequences and layers, a tab between fields."""
+    line = lambda kind, *cols: F.concat_ws("\t", F.lit(kind), *(F.col(c).cast("string") for c in cols)).alias("value")
+    layers = index.describe()
+    about = index.sequences.sparkSession.createDataFrame([(index.source, index.document_count)], "source string, documents long")
+    parts = [about.select(line("source", "source")), about.select(line("documents", "documents")), index.sequences.select(line("sequence", "sequence_id", "document_id", "name", "length")), layers.select(line("layer", "k", "distinct_seeds", "postings"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out.write.mode("overwrite").text(path)
