@@ -15,14 +15,22 @@ BASIS, PRIME = 1469598103934665603, 1099511628211
 _COLUMNS = ("document_id", "sequence_id", "name", "sequence")
 
 
+def _lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Lines of text files as ``value``, with their split's file and start for ``_numbered``."""
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+
+
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Rows with their ordinal, by partition and place; only one count for each partition is shuffled."""
-    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    counts = tagged.groupBy("_part").agg((F.max(place) + 1).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.broadcast(counts.select("_part", before.alias("_first")))  # a row for each input partition
-    return tagged.join(first, "_part").withColumn(name, F.col("_first") + place).drop("_id", "_part", "_first")
+    """Rows with their ordinal, by file name and place, however Spark deals splits to tasks.
+
+    Only one count for each split is shuffled.
+    """
+    tagged = rows.withColumn("_id", F.monotonically_increasing_id())
+    splits = tagged.groupBy("_path", "_start").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = tagged.join(splits.withColumn("_first", before).drop("_n"), ["_path", "_start"])
+    return joined.withColumn(name, F.col("_first") + F.col("_id") - F.col("_low")).drop("_path", "_start", "_id", "_low", "_first")
 
 
 def _with_ordinals(rows: DataFrame) -> DataFrame:
@@ -35,10 +43,10 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     A record without a name is not a record: its bases go before those of the next one, or, with
     ``strict``, are an error.
     """
-    text = spark.read.option("lineSep", "\n>").text(path).withColumnRenamed("value", "v")
+    text = _lines(spark, path, "\n>").withColumnRenamed("value", "v")
     body = F.when(F.startswith("v", F.lit(">")), F.substring(F.col("v"), F.lit(2), F.length("v"))).otherwise(F.col("v"))
-    rows = text.select(F.split(body, "\n", 2).alias("p"))
-    rows = rows.select(F.col("p")[0].alias("name"), F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), "\n", "").alias("sequence"))
+    rows = text.select("_path", "_start", F.split(body, "\n", 2).alias("p"))
+    rows = rows.select("_path", "_start", F.col("p")[0].alias("name"), F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), "\n", "").alias("sequence"))
     nameless = rows.where("name = ''").take(1)
     if nameless and strict:
         raise ValueError("a FASTA record has no name")
@@ -46,18 +54,18 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFram
         return _with_ordinals(rows)
     # rare: bases of nameless records move on, in one pass over ordered rows
     moved, carry = [], ""
-    for name, sequence in rows.toLocalIterator():
+    for name, sequence in _numbered(rows, "n").orderBy("n").select("name", "sequence").toLocalIterator():
         if name:
-            moved.append((name, carry + sequence))
+            moved.append((len(moved), len(moved), name, carry + sequence))
             carry = ""
         else:
             carry += sequence
-    return _with_ordinals(spark.createDataFrame(moved, "name string, sequence string"))
+    return spark.createDataFrame(moved, "document_id long, sequence_id long, name string, sequence string")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Records of a strict four-line FASTQ file; qualities are checked and dropped."""
-    lines = _numbered(spark.read.text(path), "n")
+    lines = _numbered(_lines(spark, path), "n")
     first = lines.where("value <> ''").agg(F.min("n")).first()[0]
     if first is None:
         return spark.createDataFrame([], "document_id long, sequence_id long, name string, sequence string")
@@ -88,7 +96,7 @@ def write_fasta(records: DataFrame, path: str) -> None:
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, expected_document_ids`` of a truth table; a later row of a query replaces an earlier one."""
-    lines = _numbered(spark.read.text(path), "n")
+    lines = _numbered(_lines(spark, path), "n")
     rows = lines.where("value <> '' AND NOT (n = 0 AND startswith(value, 'query_id\t'))").select("n", F.split("value", "\t").alias("p"))
     other = rows.where(F.coalesce(F.get("p", F.lit(1)), F.lit("")) != "exact_retrieval").take(1)
     if other:
