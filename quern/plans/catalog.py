@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import bases as B
+from quern.functions import codecs
 from quern.operators import evaluate
-from quern.operators.index import Index, build_index, occurrences
+from quern.operators.index import Index, build_index, layer, occurrences, write_index
 from quern.operators.search import SearchOptions, admit, candidates, hits, per_k_metrics, plan, query_metrics, tasks, top
+from quern.sources.sequences import read_fasta, write_fasta
+from quern.sources.workspace import Workspace
 
 KS = (11, 15)
 
@@ -115,9 +118,28 @@ def truth_recall(spark, sf_dir):
     return evaluate.recall(m, queries.select("query_id", F.array("document_id").alias("expected_document_ids")))
 
 
+def posting_blocks(spark, sf_dir):
+    """Postings coded to blocks and read back."""
+    rows = codecs.read_blocks(codecs.posting_blocks(_index(spark, sf_dir, (15,))[0].postings))
+    return rows.select("seed", "document_id", "position", F.col("strand").cast("long").alias("strand"))
+
+
+def index_tables(spark, sf_dir):
+    """Sizes of a layer of an index that was written and read."""
+    written = write_index(_index(spark, sf_dir)[0], Workspace(spark, "index").path("tables"))
+    return _longs(layer(written, 15).describe(), "k")
+
+
+def fasta_round_trip(spark, sf_dir):
+    """Records written as FASTA and read back: ordinals follow the ids."""
+    path = Workspace(spark, "fasta").path("records")
+    write_fasta(sequences(spark, sf_dir), path)
+    return read_fasta(spark, path).select("document_id", "name", F.length("sequence").cast("long").alias("length"), F.md5("sequence").alias("digest"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (search_topk, search_topk_multi_k, search_hot_skip, search_hot_class_doc_only, search_counters, search_max_postings, per_k_counters, truth_recall, seed_plan, seed_tasks, kmer_dictionary, layer_summary, canonical_kmers, base_composition)
+    for f in (search_topk, search_topk_multi_k, search_hot_skip, search_hot_class_doc_only, search_counters, search_max_postings, per_k_counters, truth_recall, seed_plan, seed_tasks, kmer_dictionary, layer_summary, canonical_kmers, base_composition, posting_blocks, index_tables, fasta_round_trip)
 }
 
 
@@ -174,6 +196,10 @@ t AS (SELECT query_id, count(*) FILTER (WHERE cf <= 40) AS q, sum(occurrence_cou
 SELECT query_id, coalesce(g, 0)::BIGINT AS seeds_generated, coalesce(q, 0)::BIGINT AS seeds_queried, coalesce(h, 0)::BIGINT AS seeds_skipped_hot, coalesce(b, 0)::BIGINT AS exact_bytes_read,
  coalesce(p, 0)::BIGINT AS postings_decoded, coalesce(touched.c, 0)::BIGINT AS candidates_created, false AS early_stop_fired, 'none' AS early_stop_rule
 FROM qs LEFT JOIN g USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN touched USING (query_id)""",
+    "posting_blocks": _sql((15,)) + "SELECT seed, document_id, position, strand FROM occ",
+    "index_tables": _sql((15,)) + "SELECT k, count(*)::BIGINT AS distinct_seeds, sum(cf)::BIGINT AS postings, sum(bytes)::BIGINT AS posting_bytes, max(cf) AS max_cf, max(df) AS max_df, " + ", ".join(f"count(*) FILTER (WHERE cls = {i})::BIGINT AS {c}_seeds" for i, c in enumerate(B.CLASS_LABELS)) + " FROM classed GROUP BY k",
+    "fasta_round_trip": "SELECT row_number() OVER (ORDER BY doc_id)::BIGINT - 1 AS document_id, 'doc' || doc_id AS name, length(s)::BIGINT AS length, md5(s) AS digest FROM (SELECT doc_id, translate(regexp_replace(text, '[^ACGTacgt]', '', 'g'), 'acgt', 'ACGT') AS s FROM documents)",
+    "truth_recall": "SELECT count(*)::BIGINT AS truth_queries, " + ", ".join(f"avg((r <= {n})::INT::DOUBLE) AS recall_at_{n}" for n in (1, 5, 10)) + " FROM (SELECT d.doc_id, coalesce(min(t.rank) FILTER (WHERE t.document_id = d.doc_id), 99) AS r FROM documents d LEFT JOIN (" + _top_sql() + ") t ON t.query_id = 'doc' || d.doc_id WHERE d.doc_id % 100 = 0 GROUP BY d.doc_id)",
     "canonical_kmers": _sql((15,)) + "SELECT document_id, position, seed, strand, list_reduce(list_transform(string_split(translate(seed, 'ACGT', '0123'), ''), lambda c: c::BIGINT), lambda a, c: a * 4 + c) AS code FROM occ",
     "base_composition": "SELECT doc_id AS document_id, length(s)::BIGINT AS length, " + ", ".join(f"(length(s) - length(replace(s, '{b}', '')))::BIGINT AS n_{b.lower()}" for b in "ACGT") + ", reverse(translate(substr(s, 1, 20), 'ACGT', 'TGCA')) AS head_rc FROM (SELECT doc_id, translate(regexp_replace(text, '[^ACGTacgt]', '', 'g'), 'acgt', 'ACGT') AS s FROM documents)",
 }
