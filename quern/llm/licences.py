@@ -3,8 +3,10 @@
 A text is cut into sentences, each is normalised (A-Z lower-cased, every run of other than
 letters and digits one blank) and looked up among known licence sentences.  The identifiers
 found, in order, are matched against licence rules, each an ordered list of identifiers without
-a known sentence between them.  Sentences are cut twice, with line breaks as blanks (licence
-texts are wrapped) and with line breaks as ends (notices are lines); a rule may match in either.
+a known sentence between them.  Sentences are cut three times: with line breaks as blanks
+(licence texts are wrapped), with line breaks as ends (notices are lines), and by sections, where
+blank lines and copyright lines are ends but ';' and 'v. ' are not (the wrapped texts as their
+authors set them).  A rule may match in any; what the sections show comes on top of the others.
 
 Texts without any of the words that every known sentence contains are not cut at all; they can
 match nothing.  Null and empty texts have no licences.
@@ -58,40 +60,72 @@ RULES = (
     ("CC-BY-NC-4.0", "notice", (15,)), ("CC-BY-NC-4.0", "notice", (19,)), ("CC-BY-4.0", "notice", (16,)), ("CC-BY-4.0", "notice", (18,)), ("CC-BY-SA-4.0", "notice", (17,)),
     ("BSD-3-Clause", "tag", (27,)), ("ISC", "text", (28, 29)), ("Unlicense", "notice", (30,)), ("MPL-2.0", "header", (31, 32)),
 )
+_URL = ("http www apache org licenses license 2 0", "https www apache org licenses license 2 0")
+_AT = "you may obtain a copy of the license at"
+_CONDITIONS, _NOTICE = SENTENCES[20].split(" the above copyright notice ")
+#: Sentences as sections cut them; one identifier may have several spellings.
+SECTION_SENTENCES = (
+    {s: i for i, s in SENTENCES.items()}
+    | {f"{SENTENCES[5]} {SENTENCES[6]}": 33, _AT: 34, f"{_AT} {_URL[1]}": 7, SENTENCES[32].replace("https", "http"): 32}
+    | {u: 35 for u in _URL}
+    | {f"{u} {SENTENCES[8]}": 36 for u in _URL}
+    | {f"{_AT} {u} {SENTENCES[8]}": 37 for u in _URL}
+    | {_CONDITIONS: 38, f"the above copyright notice {_NOTICE}": 39}
+)
+#: More licences as ordered identifiers, for sections only.
+SECTION_RULES = (
+    *(("Apache-2.0", "header", (*start, *rest, 9)) for start in ((33,), (5, 6), (4, 6)) for rest in ((7, 8), (34, 35, 8), (34, 36), (37,))),
+    ("MIT", "text", (38, 39, 21, 22)),
+)
 #: Every known sentence contains one of these.
 ANCHORS = ("license", "licensed", "permission", "warranty", "software", "mpl")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ends of sentences: a mark before white space or the end.
 ENDS = r"[.!?;]+(?:[\x09-\x0D\x20]+|$)"
 LINE_ENDS = r"[.!?;]*[\x0A\x0D]+|[.!?;]+(?:[\x09-\x0D\x20]+|$)"
+#: Ends of sentences in sections; a blank line may hold marks of a comment.
+SECTION_ENDS = r"(?<!\bv)[.!?]+(?:[\x09-\x0D\x20]+|$)|\n[^a-z0-9\n]*\n"
+#: A line that states a copyright (not one that a wrapped licence text starts with the word).
+COPYRIGHT_LINE = r"(?dm)^[^a-z0-9\n]*(?:portions )?copyright[^a-z0-9\n]*(?:\(c\)|©|[0-9<\[{])[^\n]*"
 
 
 def _quoted(s: str) -> str:
     return "'" + s + "'"
 
 
-def known_ids(text: Column, ends: str) -> Column:
+def known_ids(text: Column, ends: str, known: dict[str, int] | None = None) -> Column:
     """Identifiers of the known sentences of a lower-cased text, in order."""
-    table = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
+    known = known or {s: i for i, s in SENTENCES.items()}
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     normal = lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " "))
     return F.filter(F.transform(F.split(text, ends), lambda s: table[normal(s)]), lambda i: i.isNotNull())
 
 
+def section_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a lower-cased text, cut by sections."""
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), COPYRIGHT_LINE, "")
+    return known_ids(lines, SECTION_ENDS, SECTION_SENTENCES)
+
+
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``sentence_ids`` (array, by lines then by sentences) and ``licences`` (sorted names)."""
+    """Add ``sentence_ids`` (array, by lines, by sentences, then those that only sections show) and ``licences`` (sorted names)."""
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     may = F.lit(False)
     for word in ANCHORS:
         may = may | F.contains(low, F.lit(word))
     empty = F.array().cast("array<int>")
-    with_ids = documents.withColumn("_low", F.when(may, low)).withColumn("_wrapped", F.when(F.col("_low").isNotNull(), known_ids(F.col("_low"), ENDS)).otherwise(empty)).withColumn("_lines", F.when(F.col("_low").isNotNull(), known_ids(F.col("_low"), LINE_ENDS)).otherwise(empty))
+    cuts = {"_wrapped": lambda c: known_ids(c, ENDS), "_lines": lambda c: known_ids(c, LINE_ENDS), "_sections": section_ids}
+    with_ids = documents.withColumn("_low", F.when(may, low))
+    for name, cut in cuts.items():
+        with_ids = with_ids.withColumn(name, F.when(F.col("_low").isNotNull(), cut(F.col("_low"))).otherwise(empty))
     joined = lambda c: F.concat(F.lit(","), F.array_join(F.col(c).cast("array<string>"), ","), F.lit(","))
     names = []
-    for name, _, ids in RULES:
+    for name, _, ids in (*RULES, *SECTION_RULES):
         mark = F.lit("," + ",".join(map(str, ids)) + ",")
-        names.append(F.when(F.contains(joined("_wrapped"), mark) | F.contains(joined("_lines"), mark), F.lit(name)))
-    found = F.when((F.size("_wrapped") + F.size("_lines")) > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*names))))).otherwise(F.array().cast("array<string>"))
-    return with_ids.withColumn("licences", found).withColumn("sentence_ids", F.concat("_lines", "_wrapped")).drop("_low", "_wrapped", "_lines")
+        names.append(F.when(F.contains(joined("_wrapped"), mark) | F.contains(joined("_lines"), mark) | F.contains(joined("_sections"), mark), F.lit(name)))
+    found = F.when((F.size("_wrapped") + F.size("_lines") + F.size("_sections")) > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*names))))).otherwise(F.array().cast("array<string>"))
+    others = F.filter("_sections", lambda i: ~F.array_contains(F.concat("_lines", "_wrapped"), i))
+    return with_ids.withColumn("licences", found).withColumn("sentence_ids", F.concat("_lines", "_wrapped", others)).drop("_low", *cuts)
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
