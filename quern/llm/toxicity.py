@@ -164,12 +164,12 @@ def _take(word: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarra
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> KneserNeyPair:
     """Fit both models and the curve on a bounded sample (see ``labelled_sample``).
 
-    The sample holds as many documents of either kind.  Three quarters of it make the counts,
-    the rest the curve, which is weighted back to the labels' own shares.
+    Each kind has all its labelled rows up to ``per_class``, however few the other has.  Three
+    quarters of either make the counts, the rest the curve, which is weighted back to the labels'
+    own shares.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(remainder("doc_id") != 0)
-    share, fewer = known.agg(F.avg("toxic"), F.least(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0))).first()
-    share, per_class = share or 0.0, min(per_class, fewer)
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
     sample = labelled_sample(documents, labels, "toxic", per_class, max_chars).toArrow().sort_by("doc_id")
     y = sample["y"].to_numpy().astype(int)
     texts = sample["text"].combine_chunks()
