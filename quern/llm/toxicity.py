@@ -2,7 +2,9 @@
 
 Both are interpolated bigram models.  A word pair that a class has not seen falls back to the
 class's continuation counts, and those to continuation counts that both classes share, so an
-expression that is rare in both has nearly the same probability in both.  A document's evidence
+expression that is rare in both has nearly the same probability in both.  Runs of words are
+counted by a distributed aggregation over all labelled rows outside the held-out fold, the
+shared counts over all documents; only the curve is fitted on a bounded sample.  A document's evidence
 is its log-likelihood ratio per word, over the whole text and in its worst window of ``WINDOW``
 words; a logistic curve fitted on labelled rows that the language models have not seen turns it
 into a probability.
@@ -13,21 +15,28 @@ labelled rows of both kinds every document gets the share of label 1 (0 without
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textblock as tb
-from quern.llm.labelled import labelled_sample, logistic, remainder, sigmoid
+from quern.llm.labelled import logistic, remainder, sigmoid
 
 WINDOW = 4
 DISCOUNT = 3.0
 FLOOR = 0.1
 PER_CLASS = 3000
-MAX_CHARS = 60_000
+#: Words that a task gathers before it packs their runs.
+FLUSH = 3_000_000
+#: Labelled rows that are sent to the documents rather than the documents to them.
+BROADCAST_ROWS = 2_000_000
+#: Roles of ordinary and of toxic rows, without and with those held back for the curve.
+VARIANTS = (((0,), (1,)), ((0, 2), (1, 3)))
 _START = np.uint64(0x5CA1AB1E)
 _U = np.uint64
 
@@ -88,104 +97,251 @@ class KneserNeyPair:
         return sigmoid(evidence @ self.curve[:-1] + self.curve[-1])
 
 
-def _counts(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Previous and current word of every distinct run of three words.
+def _pack(ids: list[np.ndarray], names: np.ndarray, flags: np.ndarray) -> bytes:
+    """Columns of word numbers (frequent words have small ones) with the hashes that they stand for."""
+    used = np.zeros(len(names), dtype=bool)
+    for c in ids:
+        used[c] = True
+    place = np.cumsum(used) - 1
+    own = np.stack([place[c] for c in ids]).astype("<u4")
+    planes = np.ascontiguousarray(own.view(np.uint8).reshape(len(ids), -1, 4).transpose(0, 2, 1))
+    hashes = names[used]
+    head = np.array([len(flags), len(hashes)], dtype="<i8")
+    return head.tobytes() + hashes.tobytes() + planes.tobytes() + flags.tobytes()
 
-    So a pair counts once for each word that it follows, and copies of a text count once.
-    """
-    prev = np.empty_like(word)
-    prev[1:] = word[:-1]
-    prev[at[:-1][np.diff(at) > 0]] = _START
-    older = np.empty_like(word)
-    older[1:] = prev[:-1]
-    older[at[:-1][np.diff(at) > 0]] = _START
-    first = np.unique(_pair(_pair(older, prev), word), return_index=True)[1]
-    return prev[first], word[first]
+
+def _unpack(raw: bytes, columns: int) -> tuple[np.ndarray, ...]:
+    n, used = (int(x) for x in np.frombuffer(raw, dtype="<i8", count=2))
+    names = np.frombuffer(raw, dtype=np.uint64, count=used, offset=16)
+    planes = np.frombuffer(raw, dtype=np.uint8, count=columns * 4 * n, offset=16 + 8 * used).reshape(columns, 4, n)
+    own = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(columns, n)
+    return *(names[c] for c in own), np.frombuffer(raw, dtype=np.uint8, offset=16 + 8 * used + 4 * columns * n)
 
 
-def _lookup(keys: np.ndarray, counts: np.ndarray, probe: np.ndarray) -> np.ndarray:
-    return _find(keys, counts.astype(float), probe, 0.0)[0]
+def _runs(buckets: int, triples: bool):
+    """Distinct runs of words of each ``FLUSH`` words, with one bit for each role that has them.
 
+    Pairs are (word, previous) and dealt by the word, triples (previous, word, the one before
+    both) and dealt by the previous.
+    """
 
-def fit_tables(toxic: tuple[np.ndarray, np.ndarray], ordinary: tuple[np.ndarray, np.ndarray], discount: float = DISCOUNT) -> dict:
-    """The model's tables from ``(word hashes, row offsets)`` of each class.
+    def packed(word: np.ndarray, first: np.ndarray, bit: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        names, inverse, count = np.unique(np.append(word, _START), return_inverse=True, return_counts=True)
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(names))
+        by_rank = np.empty_like(names)
+        by_rank[rank] = names
+        ids = rank[inverse]
+        cur, start = ids[:-1], ids[-1]
+        before = lambda x: np.where(first, start, np.concatenate([[start], x[:-1]]))
+        prev = before(cur)
+        columns = [prev, cur, before(prev)] if triples else [cur, prev]
+        bits = len(names).bit_length()
+        if len(columns) * bits <= 63:
+            key = columns[0]
+            for c in columns[1:]:
+                key = key << bits | c
+            order = np.argsort(key)
+        else:
+            order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        flags = np.bitwise_or.reduceat(bit[order], np.flatnonzero(new))
+        columns = [c[new] for c in columns]
+        bucket = (tb.mix(by_rank) % _U(buckets)).astype(np.int32)[columns[0]]
+        order = np.argsort(bucket, kind="stable")
+        here, at = np.unique(bucket[order], return_index=True)
+        for b, rows in zip(here.tolist(), np.split(order, at[1:]), strict=True):
+            yield b, _pack([c[rows] for c in columns], by_rank, flags[rows])
+
+    def batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        codec = pa.Codec("zstd")
+        rows = [(b, len(x), codec.compress(x, asbytes=True)) for b, x in packed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+        kinds = {"bucket": pa.int32(), "size": pa.int64(), "runs": pa.binary()}
+        return pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for texts in batches:
+            roles = texts["role"].fill_null(-1).to_numpy(zero_copy_only=False)
+            bits = np.where(roles >= 0, 1 << np.maximum(roles, 0), 0).astype(np.uint8)
+            for row, raw, off in tb.blocks(texts["text"]):
+                word, at = tb.words(raw, off, tb.ALNUM)
+                if len(word) == 0:
+                    continue
+                first = np.zeros(len(word), dtype=bool)
+                first[at[:-1][np.diff(at) > 0]] = True
+                parts.append((word, first, np.repeat(bits[row : row + len(off) - 1], np.diff(at))))
+                held += len(word)
+                if held >= FLUSH:
+                    yield batch(parts)
+                    parts, held = [], 0
+        if parts:
+            yield batch(parts)
+
+    return gather
+
+
+def _unpacked(table: pa.Table, columns: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of words and the roles' bits of each packed row."""
+    codec = pa.Codec("zstd")
+    for size, runs in zip(table["size"].to_pylist(), table["runs"], strict=True):
+        yield _unpack(codec.decompress(runs.as_buffer(), size, asbytes=True), columns)
+
+
+def _told(discount: float):
+    """Of one bucket of triples the pairs that tell the classes apart, for both variants."""
+
+    def tell(table: pa.Table) -> pa.Table:
+        parts = [(prev, cur, _pair(_pair(older, prev), cur), flags) for prev, cur, older, flags in _unpacked(table, 3)]
+        every = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+        out = []
+        for variant, roles in enumerate(VARIANTS):
+            seen = []
+            for own in roles:  # ordinary, toxic
+                there = (every[3] & sum(1 << r for r in own)) > 0
+                prev, cur, triple = (x[there] for x in every[:3])
+                first = np.unique(triple, return_index=True)[1]  # copies of a text count once
+                prev, cur = prev[first], cur[first]
+                key, first, count = np.unique(_pair(prev, cur), return_index=True, return_counts=True)
+                seen.append((key, prev[first], cur[first], count))
+            keys, first, inverse = np.unique(np.concatenate([x[0] for x in seen]), return_index=True, return_inverse=True)
+            prevs, curs = (np.concatenate([x[i] for x in seen])[first] for i in (1, 2))
+            both = np.bincount(inverse, weights=np.concatenate([x[3] for x in seen]), minlength=len(keys))
+            contexts, context_of = np.unique(prevs, return_inverse=True)
+            total = lambda x: np.bincount(context_of, weights=x, minlength=len(contexts))[context_of]  # noqa: B023, E731
+            fall = total(np.minimum(both, discount)) / np.maximum(total(both), 1)
+            left = [np.maximum(_find(x[0], x[3].astype(float), keys, 0.0)[0] - discount, 0) for x in seen]
+            room = [total(x) for x in left]
+            told = (room[0] > 0) & (room[1] > 0) & (left[0] + left[1] > 0)
+            own = [(1 - fall[told]) * x[told] / r[told] for x, r in zip(left, room, strict=True)]
+            out.append(pa.table({"variant": pa.array(np.full(told.sum(), variant, dtype=np.int32)), "pair": keys[told].view(np.int64), "word": curs[told].view(np.int64), "fall": fall[told], "ordinary": own[0], "toxic": own[1]}))
+        return pa.concat_tables(out)
+
+    return tell
+
+
+def _followed(discount: float, wanted):
+    """Of one bucket of pairs the words that keep some of their counts or are wanted, and sums of all others."""
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [(_pair(prev, cur), cur, flags) for cur, prev, flags in _unpacked(table, 2)]
+        key, cur, flags = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        flags, cur = np.bitwise_or.reduceat(flags[order], first), cur[order][first]
+        words, word_of, everywhere = np.unique(cur, return_inverse=True, return_counts=True)
+        asked = np.isin(words, wanted.value)
+        out = []
+        for variant, roles in enumerate(VARIANTS):
+            o, t = (np.bincount(word_of, weights=(flags & sum(1 << r for r in own)) > 0, minlength=len(words)).astype(np.int64) for own in roles)
+            single = asked | (o > discount) | (t > discount)
+            rest, rest_of, n = np.unique(np.stack([o, t], axis=1)[~single], axis=0, return_inverse=True, return_counts=True)
+            whole = np.bincount(rest_of.ravel(), weights=everywhere[~single], minlength=len(rest)).astype(np.int64)
+            rows = {
+                "variant": np.full(single.sum() + len(rest), variant, dtype=np.int32),
+                "word": pa.array([*words[single].view(np.int64).tolist(), *[None] * len(rest)], pa.int64()),
+                "ordinary": np.concatenate([o[single], rest[:, 0]]),
+                "toxic": np.concatenate([t[single], rest[:, 1]]),
+                "everywhere": np.concatenate([everywhere[single], whole]),
+                "n": np.concatenate([np.ones(single.sum(), dtype=np.int64), n]),
+            }
+            out.append(pa.table(rows))
+        return pa.concat_tables(out)
+
+    return count
+
+
+def _tables(pairs: pa.Table, words: pa.Table, discount: float) -> dict:
+    """The model's tables of one variant.
 
     Both models share their lowest order, the continuation counts that the classes have in
-    common, and all fallback weights.  A context counts only where both classes keep some of
-    its pairs after discounting, else both fall back: what is rare has a ratio of about one.
+    common smoothed by those of all documents, and all fallback weights.  A context counts only
+    where both classes keep some of its pairs after discounting, else both fall back: what is
+    rare has a ratio of about one.
     """
-    seen = {}
-    for name, (word, at) in (("t", toxic), ("o", ordinary)):
-        prev, cur = _counts(word, at)
-        key, first, count = np.unique(_pair(prev, cur), return_index=True, return_counts=True)
-        seen[name] = (key, prev[first], cur[first], count)
-    keys, first, inverse = np.unique(np.concatenate([seen["t"][0], seen["o"][0]]), return_index=True, return_inverse=True)
-    prevs = np.concatenate([seen["t"][1], seen["o"][1]])[first]
-    curs = np.concatenate([seen["t"][2], seen["o"][2]])[first]
-    both = np.bincount(inverse, weights=np.concatenate([seen["t"][3], seen["o"][3]]), minlength=len(keys))
-    vocab, word_of = np.unique(curs, return_inverse=True)
-    before = {}
-    for name in seen:
-        own, follow = np.unique(seen[name][2], return_counts=True)
-        before[name] = _lookup(own, follow, vocab)
-    common = np.minimum(*(before[name] / max(1, before[name].sum()) for name in before))
-    base = np.full(len(vocab), FLOOR / max(1, len(vocab))) + (1 - FLOOR) * common / (common.sum() or 1)
-    fall1 = sum(np.minimum(x, discount).sum() for x in before.values()) / max(1, sum(x.sum() for x in before.values()))
-    contexts, context_of = np.unique(prevs, return_inverse=True)
-    mass = np.bincount(context_of, weights=both, minlength=len(contexts))
-    fall2 = (np.bincount(context_of, weights=np.minimum(both, discount), minlength=len(contexts)) / np.maximum(mass, 1))[context_of]
-    single, left, room = {}, {}, {}
-    for name, (key, _, _, count) in seen.items():
-        kept = np.maximum(before[name] - discount, 0)
-        single[name] = (1 - fall1) * kept / (kept.sum() or 1) + fall1 * base
-        left[name] = np.maximum(_lookup(key, count, keys) - discount, 0)
-        room[name] = np.bincount(context_of, weights=left[name], minlength=len(contexts))[context_of]
-    told = (room["t"] > 0) & (room["o"] > 0) & (left["t"] + left["o"] > 0)
-    joint = {n: fall2[told] * single[n][word_of][told] + (1 - fall2[told]) * left[n][told] / room[n][told] for n in seen}
+    o, t, every, n = (words[c].to_numpy().astype(float) for c in ("ordinary", "toxic", "everywhere", "n"))
+    sums = [max(1, (n * x).sum()) for x in (o, t)]
+    common = np.minimum(o / sums[0], t / sums[1])
+    base = FLOOR * every / max(1, every.sum()) + (1 - FLOOR) * common / ((n * common).sum() or 1)
+    fall = sum((n * np.minimum(x, discount)).sum() for x in (o, t)) / sum(sums)
+    kept = [np.maximum(x - discount, 0) for x in (o, t)]
+    single = [(1 - fall) * k / (k.sum() or 1) + fall * base for k in kept]
+    own = np.flatnonzero(words["word"].is_valid().to_numpy())
+    vocab = words["word"].fill_null(0).to_numpy().view(np.uint64)[own]
+    order = own[np.argsort(vocab)]
+    vocab, single = np.sort(vocab), [x[order] for x in single]
+    share, cur = pairs["fall"].to_numpy(), pairs["word"].to_numpy().view(np.uint64)
+    joint = [share * _find(vocab, x, cur, 0.0)[0] + pairs[c].to_numpy() for x, c in zip(single, ("ordinary", "toxic"), strict=True)]
+    keys = pairs["pair"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
     f32 = lambda a: a.astype(np.float32)
-    return {"pairs": keys[told], "pair_llr": f32(np.log(joint["t"] / joint["o"])), "words": vocab, "word_llr": f32(np.log(single["t"] / single["o"]))}
-
-
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts, ats, base = [], [np.zeros(1, dtype=np.int64)], 0
-    for _, raw, off in tb.blocks(texts):
-        word, at = tb.words(raw, off, tb.ALNUM)
-        parts.append(word)
-        ats.append(at[1:] + base)
-        base += len(word)
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64), np.concatenate(ats)
+    return {"pairs": keys[order], "pair_llr": f32(np.log(joint[1] / joint[0]))[order], "words": vocab, "word_llr": f32(np.log(single[1] / single[0]))}
 
 
-def _take(word: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pieces = [word[at[r] : at[r + 1]] for r in rows]
-    return (np.concatenate(pieces) if pieces else word[:0]), np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)]).astype(np.int64)
+def fit_tables(documents: DataFrame, discount: float = DISCOUNT) -> list[dict]:
+    """Both variants' tables from all rows of ``text, role``, counted where the rows are.
 
-
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> KneserNeyPair:
-    """Fit both models and the curve on a bounded sample (see ``labelled_sample``).
-
-    Each kind has all its labelled rows up to ``per_class``, however few the other has.  Three
-    quarters of either make the counts, the rest the curve, which is weighted back to the labels'
-    own shares.
+    What comes to the driver are the words and pairs that are left after discounting.
+    """
+    buckets = max(16, documents.rdd.getNumPartitions() // 2)
+    rows = "bucket int, size long, runs binary"
+    triples = documents.where("role IS NOT NULL").mapInArrow(_runs(buckets, True), rows)
+    pairs = triples.groupBy("bucket").applyInArrow(_told(discount), "variant int, pair long, word long, fall double, ordinary double, toxic double").toArrow()
+    wanted = documents.sparkSession.sparkContext.broadcast(np.unique(pairs["word"].to_numpy()).view(np.uint64))
+    followed = documents.mapInArrow(_runs(buckets, False), rows).groupBy("bucket")
+    words = followed.applyInArrow(_followed(discount, wanted), "variant int, word long, ordinary long, toxic long, everywhere long, n long").toArrow()
+    of = lambda t, v: t.filter(pc.equal(t["variant"], v))
+    return [_tables(of(pairs, v), of(words, v), discount) for v in range(len(VARIANTS))]
+
+
+def with_roles(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, float]:
+    """``text, role`` of all documents, and the share of label 1.
+
+    Role 0 is ordinary and 1 toxic, 2 and 3 the same held back for the curve: a fourth of each
+    class at most, and ``per_class`` documents, the first by a hash of the id.  All others, those
+    of the held-out fold too, have none.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(remainder("doc_id") != 0)
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    sample = labelled_sample(documents, labels, "toxic", per_class, max_chars).toArrow().sort_by("doc_id")
-    y = sample["y"].to_numpy().astype(int)
-    texts = sample["text"].combine_chunks()
-    word, at = _words(texts if isinstance(texts, pa.Array) else pa.array(texts))
-    turn = np.zeros(len(y), dtype=int)
-    for c in (0, 1):  # every fourth of each class
-        turn[y == c] = np.arange((y == c).sum()) % 4
-    count, tune = turn != 3, turn == 3
-    toxic, ordinary = (np.flatnonzero(count & (y == c)) for c in (1, 0))
-    tables = fit_tables(_take(word, at, toxic), _take(word, at, ordinary))
-    model = KneserNeyPair(**tables, curve=np.array([0.0, 0.0, np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30)]))
-    if tune.any() and 0 < y[tune].mean() < 1:
-        evidence = model.evidence(*_take(word, at, np.flatnonzero(tune)))
-        own = y[tune].mean()
-        weight = np.where(y[tune] == 1, share / own, (1 - share) / (1 - own))
-        model.curve = logistic(evidence, y[tune], weight, ridge=1e-3)
+    labelled = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(remainder("doc_id") != 0)
+    known = labelled.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
+    share = labelled.agg(F.avg("toxic")).first()[0] or 0.0
+    size = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    order = F.xxhash64("_id")
+    held = [known.where(F.col("_y") == y).orderBy(order, "_id").limit(min(per_class, size.get(y, 0) // 4)) for y in (0, 1)]
+    held = held[0].unionByName(held[1]).select(F.col("_id").alias("_held"))
+    few = sum(size.values()) <= BROADCAST_ROWS  # else the texts move to their labels
+    roles = known.join(F.broadcast(held), F.col("_id") == F.col("_held"), "left").select("_id", F.when(F.col("_held").isNull(), F.col("_y")).otherwise(F.col("_y") + 2).alias("role"))
+    return documents.select("doc_id", "text").join(F.broadcast(roles) if few else roles, F.col("doc_id") == F.col("_id"), "left").select("text", "role"), share
+
+
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS // 4) -> KneserNeyPair:
+    """Fit both models on all documents and the curve on a bounded sample.
+
+    The curve is fitted by tables without the held-back documents and weighted back to the
+    labels' own shares; the tables that are returned count these documents, too.
+    """
+    rows, share = with_roles(documents, labels, per_class)
+    without, whole = fit_tables(rows)
+    prior = np.array([0.0, 0.0, np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30)])
+    model = KneserNeyPair(**whole, curve=prior)
+    sent = documents.sparkSession.sparkContext.broadcast(KneserNeyPair(**without, curve=prior))
+
+    @F.arrow_udf("array<double>")
+    def evidence(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), 2))
+        for row, raw, off in tb.blocks(texts):
+            out[row : row + len(off) - 1] = sent.value.evidence(*tb.words(raw, off, tb.ALNUM))
+        return pa.array(list(out), pa.list_(pa.float64()))
+
+    held = rows.where("role >= 2").select((F.col("role") - 2).alias("y"), evidence("text").alias("e")).collect()
+    y = np.array([r["y"] for r in held], dtype=int)
+    if len(y) and 0 < y.mean() < 1:
+        own = y.mean()
+        weight = np.where(y == 1, share / own, (1 - share) / (1 - own))
+        order = sorted(range(len(y)), key=lambda i: (held[i]["y"], held[i]["e"]))  # sums in one order
+        model.curve = logistic(np.array([held[i]["e"] for i in order]), y[order], weight[order], ridge=1e-3)
     return model
 
 
