@@ -37,11 +37,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, Jaccard 0.8) the document of least id; of its repeated rows all."""
+    """Of each group of near copies (five words, Jaccard 0.8) one row, that of the least id (null ids last).
+
+    Rows are told apart by a hash of all their columns, so an id may be null or repeated.  Texts
+    without words are copies only where whole rows are equal.
+    """
     ship(spark)
-    found = JaccardJoin(5, Fraction(4, 5)).components(docs, Workspace(spark, "copies"))
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    ws = Workspace(spark, "copies")
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    found = ws.save(JaccardJoin(5, Fraction(4, 5), "_row").components(rows, ws).select("_row", "component_id").distinct(), "row_groups")
+    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_n"))
+    place = F.struct(F.col("_id").isNull(), "_id", "_row")
+    known = ws.save(found.join(ids, "_row"), "row_ids")
+    least = known.groupBy("component_id").agg(F.min(place)["_row"].alias("_least"))
+    copies = known.join(least, "component_id").where("_row <> _least").select("_row")
+    again = known.where("_n > 1").select("_row")
+    once = rows.join(copies.unionByName(again).distinct(), "_row", "left_anti")
+    first = rows.join(again.join(copies, "_row", "left_anti"), "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(first).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
