@@ -11,8 +11,8 @@ that both vectors are in.  So links are counted where they are found, and what l
 a count for each vector and one edge for each vector and neighbourhood, never the pairs.  Equal
 vectors are one, with a weight.
 
-Vectors that are null, zero or hold null or non-finite components, or another number of them
-than most, link with nothing.  Rows of one id are rows of their own; a null id keeps null.
+Vectors that are null, zero or hold null or non-finite components link with nothing.  Vectors of
+different numbers of components are not compared; each number has a forest of its own.  Rows of one id are rows of their own; a null id keeps null.
 """
 
 from __future__ import annotations
@@ -220,25 +220,22 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, id_col: str = "vec_id", v
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    dims = rows.where("id IS NOT NULL AND v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = max(1, dims[0]) if dims else 1
-    sound = F.col("id").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0.0)
+    sound = F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0.0)
     # equal vectors are one: the digest of the values (-0.0 being 0.0) is the key
     marked = rows.withColumn("key", F.when(sound, F.sha2(F.to_json(F.transform("v", lambda c: c + 0.0)).cast("binary"), 256)))
     kinds = ws.save(marked.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("weight")), "kinds")
     kept = ws.save(marked.join(kinds, "key").where("id = c").select("c", "v", "weight", "key").dropDuplicates(["key"]).select("c", "v", "weight"), "distinct")
-    total = kept.count()
-    picked = kept.orderBy(F.xxhash64("c", F.lit(SEED)), "c").limit(sample).select("c", "v").toArrow()
-    if total:
+    sizes = kept.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()
+    schema = "tree int, leaf int, i int, j int, row boolean, col boolean, id long, weight long, x binary, homes array<long>"
+    found = spark.createDataFrame([], "kind int, a long, b long")
+    for dim, total in sizes:  # a forest for each number of components
+        alike = kept.where(F.size("v") == dim)
+        picked = alike.orderBy(F.xxhash64("c", F.lit(SEED)), "c").limit(sample).select("c", "v").toArrow()
         at, _ = unit(pa.chunked_array(picked["v"]).combine_chunks(), dim)
         order = np.argsort(picked["c"].to_numpy())
-        grown = [grow(at[order], total, SEED + t, threshold) for t in range(trees)]
-    else:
-        grown = []
-    sent = spark.sparkContext.broadcast(grown)
-    schema = "tree int, leaf int, i int, j int, row boolean, col boolean, id long, weight long, x binary, homes array<long>"
-    dealt = kept.mapInArrow(_deal(sent, dim), schema)
-    found = ws.save(dealt.groupBy("tree", "leaf", "i", "j").applyInArrow(_compare(threshold), "kind int, a long, b long"), "found")
+        sent = spark.sparkContext.broadcast([grow(at[order], total, SEED + t, threshold) for t in range(trees)])
+        dealt = alike.mapInArrow(_deal(sent, dim), schema)
+        found = found.unionByName(ws.save(dealt.groupBy("tree", "leaf", "i", "j").applyInArrow(_compare(threshold), "kind int, a long, b long"), f"found{dim}"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("links"))
     edges = found.where("kind = 1").select("a", "b")
     # an id with several vectors holds their kinds together
