@@ -78,7 +78,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: Three stages learn or search beyond SQL; tests compare them with brute force.
+#: Three stages learn or search beyond SQL; tests compare the copies stage and the toxicity counts
+#: with brute force, the others not (see the README).
 ORACLE_SQL = None
 
 
