@@ -4,6 +4,8 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import jaccard
@@ -39,9 +41,9 @@ def brute(rows, k, t):
     return sorted(((i, len(x), None if i is None else root(i)) for i, x in sets), key=str)
 
 
-def run(spark, rows, k, t):
+def run(spark, rows, k, t, **limits):
     df = spark.createDataFrame([(i, x, 7) for i, x in rows], SCHEMA).repartition(3)
-    out = JaccardJoin(k, t).components(df, Workspace(spark, "test"))
+    out = JaccardJoin(k, t, **limits).components(df, Workspace(spark, "test"))
     assert out.columns == ["doc_id", "n_shingles", "component_id"]
     return sorted((tuple(r) for r in out.collect()), key=str)
 
@@ -63,12 +65,29 @@ def corpus(seed, bases, copies, words=40, vocabulary=400):
     return rows
 
 
-@pytest.mark.parametrize("k,t,bucket", [(3, Fraction(9, 10), 2), (5, Fraction(4, 5), 24), (2, Fraction(1, 2), 3)])
-def test_against_all_pairs(spark, monkeypatch, k, t, bucket):
-    monkeypatch.setattr(jaccard, "BUCKET", bucket)
-    monkeypatch.setattr(jaccard, "COMMON", bucket)
-    rows = corpus(int(t * 100) + bucket, 25, 12)
-    assert run(spark, rows, k, t) == brute(rows, k, t)
+@pytest.mark.parametrize("k,t,limits", [(3, Fraction(9, 10), {"bucket": 2, "common": 2, "wide": 0}), (5, Fraction(4, 5), {}), (2, Fraction(1, 2), {"bucket": 3, "common": 10**9, "dense": 0, "broadcast_ids": 0})])
+def test_against_all_pairs(spark, k, t, limits):
+    """By every way that the limits choose between."""
+    rows = corpus(int(t * 100) + len(limits), 25, 12)
+    assert run(spark, rows, k, t, **limits) == brute(rows, k, t)
+
+
+def test_bitmaps_lose_no_pair():
+    rnd = np.random.default_rng(3)
+    t = Fraction(9, 10)
+    rows = []
+    for n in (1, 2, 30, 100, 700, 9000, 20000):
+        x = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        for out, more in ((0, 0), (n // 20, n // 30), (n // 18, 0), (0, n // 9), (n // 3, n // 3)):
+            y = np.unique(np.concatenate([x[out:], rnd.integers(0, 2**64, more, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            rows.append((len(x), len(y), jaccard.parity(x), jaccard.parity(y), 10 * both >= 9 * (len(x) + len(y) - both)))
+    nx, ny, x, y, linked = zip(*rows, strict=True)
+    at = pa.array(range(len(rows)))
+    batch = pa.RecordBatch.from_arrays([at, pa.array(nx, pa.int32()), pa.array(ny, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["at", "nx", "ny", "x", "y"])
+    kept = set(next(jaccard._likely(t)(iter([batch])))["at"].to_pylist())
+    assert {i for i, told in enumerate(linked) if told} <= kept
+    assert 2 <= sum(linked) < len(rows) and not kept & {i for i, r in enumerate(rows) if r[0] >= 700 and i % 5 == 4}
 
 
 def test_hub_of_near_copies(spark):
