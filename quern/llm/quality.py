@@ -1,13 +1,17 @@
 """Quality by hierarchical empirical Bayes: a document classifier, corrected by site and path.
 
 The classifier is logistic on the share of characters of several kinds, on repetition of words
-and lines and on sizes, fitted on a bounded labelled sample.  Its probabilities are summed by
-path and by site; a site's posterior mean is shrunk toward the global mean, a path's toward its
-site's, by as many pseudo-documents as the spread between sites (paths) supports.  A document's
-odds are then multiplied by the odds of its path's posterior over the global odds.
+and lines and on sizes, fitted on a bounded labelled sample outside the held-out fold.  Its
+probabilities are summed by path and by site; a site's posterior mean is shrunk toward the global
+mean, a path's toward its site's, each by as many pseudo-documents as the spread between sites,
+or between the paths of a site, supports.  A document's odds are multiplied by the odds of its
+path's posterior over the global odds; its own probability is left out of both means, so it does
+not count twice.
 
 Null texts count as empty; null sites or paths are a site or path of their own.  Repeated rows
-count each time.  Without labels every document has probability 0.5 and is kept.
+count each time (as others of their site); null ids have no label.  Without labels every document
+has probability 0.5 and is kept.  An empty table gives an empty result.  Input columns that are
+named like an added one are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -20,11 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textblock as tb
-from quern.llm.labelled import labelled_sample, logistic, sigmoid
+from quern.llm.labelled import fresh, labelled_sample, logistic, sigmoid, training_labels
 from quern.sources.workspace import Workspace
 
 PER_CLASS = 3000
-MAX_CHARS = 60_000
 THRESHOLD = 0.5
 _BINS = 8
 
@@ -98,14 +101,22 @@ class Classifier:
         return sigmoid(d @ self.beta[:-1] + self.beta[-1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Classifier:
-    """Fit the classifier on at most ``per_class`` labelled documents of either kind, outside the held-out fold."""
-    share = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    sample = labelled_sample(documents, labels, "quality", per_class, max_chars).toArrow().sort_by("doc_id")
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
+    """Fit the classifier on at most ``per_class`` labelled documents of either kind, outside the held-out fold.
+
+    Texts stay where they are; of each sampled one its numbers come to the driver.
+    """
+    share = training_labels(labels, "quality").agg(F.avg("_y")).first()[0]
+
+    @F.arrow_udf("array<double>")
+    def numbers(texts: pa.Array) -> pa.Array:
+        return pa.array(list(features(texts)), pa.list_(pa.float64()))
+
+    sample = labelled_sample(documents, labels, "quality", per_class).select("doc_id", "y", numbers("text").alias("x")).toArrow().sort_by("doc_id")
     y = sample["y"].to_numpy().astype(float)
     if share is None or len(y) == 0 or y.min() == y.max():
         return Classifier(np.zeros(1), np.ones(1), np.zeros((1, 0)), np.zeros(1))
-    x = features(pa.chunked_array(sample["text"]).combine_chunks())
+    x = np.array(sample["x"].to_pylist())
     centre, scale = np.median(x, axis=0), np.maximum(x.std(axis=0), 1e-6)
     steps = np.quantile(x, np.arange(1, _BINS) / _BINS, axis=0).T
     model = Classifier(centre, scale, steps, np.zeros(0))
@@ -131,40 +142,67 @@ def _odds(p: Column) -> Column:
     return p / (F.lit(1.0) - p)
 
 
-def path_posteriors(scored: DataFrame, site: str, path: str, p: str, ws: Workspace) -> DataFrame:
-    """``(site, path, site_mean, path_mean, global_mean)`` by one aggregation over documents.
+def _pseudo(within: float, between: float) -> float:
+    """Pseudo-documents that a group's mean is shrunk by."""
+    return min(1e6, max(1.0, within / between)) if between > 0 else 1e6
+
+
+def path_sums(scored: DataFrame, site: str, path: str, p: str, ws: Workspace) -> tuple[DataFrame, dict[str, float]]:
+    """``(_site, _path, n, s, site_n, site_s)`` and the prior: ``mean, site_k, path_k``.
 
-    Sums are taken before the shuffle, so a site with a third of the documents is one row of
-    each task.  Pseudo-documents are the within-variance over the between-variance (method of
-    moments), kept between 1 and 10^6.  Only the global mean and that number reach the driver.
+    Sums are taken before the shuffle, so a site with a third of the documents is one row of each
+    task.  Spreads between groups are by the method of moments for groups of unequal size; only
+    a few sums of them reach the driver.
     """
-    counted = scored.groupBy(F.col(site).alias("_site"), F.col(path).alias("_path")).agg(F.count("*").alias("n"), F.sum(p).alias("s"))
+    counted = scored.groupBy(F.col(site).alias("_site"), F.col(path).alias("_path")).agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(F.col(p) * F.col(p)).alias("q"))
     paths = ws.save(counted, "paths")
-    sites = paths.groupBy("_site").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"))
-    n, total, squares, kinds = sites.agg(F.sum("site_n"), F.sum("site_s"), F.sum(F.col("site_s") * F.col("site_s") / F.col("site_n")), F.count("*")).first()
-    mean = total / n if n else 0.5
-    within = mean * (1 - mean)
-    between = (squares / n - mean * mean) - within * kinds / n if n else 0.0
-    k = min(1e6, max(1.0, within / max(between, 1e-9)))
-    site_mean = sites.select(F.col("_site").alias("_s"), ((F.col("site_s") + k * mean) / (F.col("site_n") + k)).alias("site_mean"))
-    joined = paths.join(site_mean, F.col("_s").eqNullSafe(F.col("_site")))
-    return joined.select("_site", "_path", F.lit(mean).alias("global_mean"), "site_mean", ((F.col("s") + k * F.col("site_mean")) / (F.col("n") + k)).alias("path_mean"))
-
-
-def with_quality(scored: DataFrame, posteriors: DataFrame, site: str, path: str, p: str) -> DataFrame:
-    """Add ``site_mean``, ``path_mean`` and ``quality`` (the corrected probability) to ``scored``."""
+    sites = paths.groupBy("_site").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"), F.sum("q").alias("site_q"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("path_ss"), F.sum(F.col("n").cast("double") * F.col("n")).alias("path_nn"))
+    sites = ws.save(sites, "sites")
+    number = F.col("site_n").cast("double")
+    one = sites.agg(
+        F.sum(number).alias("n"), F.sum("site_s").alias("s"), F.sum("site_q").alias("q"), F.count("*").alias("sites"), F.sum("k").alias("paths"), F.sum(F.col("site_s") * F.col("site_s") / number).alias("site_ss"),
+        F.sum(number * number).alias("site_nn"), F.sum("path_ss").alias("path_ss"), F.sum(F.col("path_nn") / number).alias("path_nn"),
+    ).first()
+    n = one["n"] or 0.0
+    mean = one["s"] / n if n else 0.5
+    prior = {"mean": mean, "site_k": 1e6, "path_k": 1e6}
+    if n > (one["sites"] or 0):
+        within = max(0.0, one["q"] - one["site_ss"]) / (n - one["sites"])
+        room = n - one["site_nn"] / n
+        prior["site_k"] = _pseudo(within, (one["site_ss"] - n * mean * mean - (one["sites"] - 1) * within) / room if room > 0 else 0.0)
+    if n > (one["paths"] or 0):
+        within = max(0.0, one["q"] - one["path_ss"]) / (n - one["paths"])
+        room = n - one["path_nn"]
+        prior["path_k"] = _pseudo(within, (one["path_ss"] - one["site_ss"] - (one["paths"] - one["sites"]) * within) / room if room > 0 else 0.0)
+    joined = paths.join(sites.select(F.col("_site").alias("_s"), "site_n", "site_s"), F.col("_s").eqNullSafe(F.col("_site")))
+    return joined.select("_site", "_path", "n", "s", "site_n", "site_s"), prior
+
+
+def with_quality(scored: DataFrame, sums: DataFrame, prior: dict[str, float], site: str, path: str, p: str) -> DataFrame:
+    """Add ``site_mean``, ``path_mean`` (posteriors from all other documents) and ``quality`` to ``scored``."""
     safe = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
-    joined = scored.join(posteriors, F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path")))
-    odds = _odds(safe(F.col(p))) * _odds(safe(F.col("path_mean"))) / _odds(safe(F.col("global_mean")))
-    return joined.withColumn("quality", odds / (1 + odds)).drop("_site", "_path", "global_mean")
+    name = {c: fresh(scored.columns, f"_{c}") for c in sums.columns}
+    right = sums.select(*(F.col(c).alias(n) for c, n in name.items()))
+    joined = scored.join(right, scored[site].eqNullSafe(right[name["_site"]]) & scored[path].eqNullSafe(right[name["_path"]]))
+    of = lambda c: joined[name[c]]
+    own, (mean, site_k, path_k) = joined[p], (prior[c] for c in ("mean", "site_k", "path_k"))
+    site_mean = (of("site_s") - own + site_k * mean) / (of("site_n") - 1 + site_k)
+    path_mean = (of("s") - own + path_k * site_mean) / (of("n") - 1 + path_k)
+    odds = _odds(safe(own)) * _odds(safe(path_mean)) / _odds(safe(F.lit(mean)))
+    added = {"site_mean": site_mean, "path_mean": path_mean, "quality": odds / (1 + odds)}
+    return joined.select(*(joined[c] for c in scored.columns if c not in added), *(e.alias(c) for c, e in added.items()))
+
+
+def judge(documents: DataFrame, labels: DataFrame, site: F.Column, path: F.Column, ws: Workspace, training: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns with ``_site, _path, _p, site_mean, path_mean, quality``; texts are scored once."""
+    model = fit(documents if training is None else training, labels)
+    kept = documents.columns if keep is None else keep
+    scored = ws.save(documents.select(*kept, site.alias("_site"), path.alias("_path"), document_probability(documents, model).alias("_p")), "scored")
+    return with_quality(scored, *path_sums(scored, "_site", "_path", "_p", ws), "_site", "_path", "_p")
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Every document's quality: ``doc_id, doc_probability, site_mean, path_mean, quality, kept``."""
+    """Every document's quality: ``doc_id, site, path, doc_probability, site_mean, path_mean, quality, kept``."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    ws = Workspace(spark, "quality")
-    scored = documents.select("doc_id", F.col("source").alias("site"), F.concat_ws("/", "source", "lang").alias("path"), document_probability(documents, model).alias("doc_probability"))
-    scored = ws.save(scored, "scored")
-    result = with_quality(scored, path_posteriors(scored, "site", "path", "doc_probability", ws), "site", "path", "doc_probability")
-    return result.select("doc_id", "site", "path", "doc_probability", "site_mean", "path_mean", "quality", (F.col("quality") >= THRESHOLD).alias("kept"))
+    result = judge(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.concat_ws("/", "source", "lang"), Workspace(spark, "quality"), keep=["doc_id"])
+    return result.select("doc_id", F.col("_site").alias("site"), F.col("_path").alias("path"), F.col("_p").alias("doc_probability"), "site_mean", "path_mean", "quality", (F.col("quality") >= THRESHOLD).alias("kept"))

@@ -1,20 +1,26 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary text.
 
-Both are interpolated bigram models.  A word pair that a class has not seen falls back to the
-class's continuation counts, and those to continuation counts that both classes share, so an
-expression that is rare in both has nearly the same probability in both.  Runs of words are
-counted by a distributed aggregation over all labelled rows outside the held-out fold, the
-shared counts over all documents; only the curve is fitted on a bounded sample.  A document's evidence
-is its log-likelihood ratio per word, over the whole text and in its worst window of ``WINDOW``
-words; a logistic curve fitted on labelled rows that the language models have not seen turns it
-into a probability.
-
-Null and empty texts get the score of no evidence.  Repeated rows are scored alike.  Without
-labelled rows of both kinds every document gets the share of label 1 (0 without labels).
+Each class has an interpolated Kneser-Ney model of word pairs.  A pair's count is the number of
+distinct words before it, a word's count that of distinct words before it, so copies of a text
+count once.  What a class discounts from a context goes to that class's word counts, and what it
+discounts from those to counts of words over all documents, which both classes share: an
+expression that is rare in both has the same probability in both but for the discounted mass.
+
+Runs of words are counted by a distributed aggregation over all labelled rows outside the
+held-out fold, the shared counts over all documents; only the curve is fitted on a bounded
+sample.  The evidence of a document is one number: the log-likelihood ratio per word of its worst
+stretch of ``WINDOW`` words.  A logistic curve of that number, fitted on labelled rows that the
+models have not seen, maps it to 0..1.
+
+Null and empty texts have evidence 0.  Repeated rows are scored alike; a labelled id that repeats
+counts with each of its texts, an id labelled more than once with its largest label; null ids have
+no label.  Without labelled rows of both kinds every document gets the share of label 1 (0 without
+labels).  An empty table gives an empty result; other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textblock as tb
-from quern.llm.labelled import logistic, remainder, sigmoid
-
-WINDOW = 4
-DISCOUNT = 3.0
-FLOOR = 0.1
-PER_CLASS = 3000
+from quern.llm.labelled import logistic, remainder, sigmoid, training_labels
+from quern.sources.workspace import Workspace
+
+#: Chosen by four-fold cross-validation inside the training fold of sf0.1 (see the README).
+WINDOW = 2
+WORD_DISCOUNT = 3.0
+PAIR_DISCOUNT = 8.0
+#: Documents of each class that the curve is fitted on, at most.
+PER_CLASS = 750
 #: Words that a task gathers before it packs their runs.
 FLUSH = 3_000_000
 #: Labelled rows that are sent to the documents rather than the documents to them.
@@ -56,45 +65,49 @@ def _find(keys: np.ndarray, values: np.ndarray, probe: np.ndarray, missing: floa
 
 @dataclass
 class KneserNeyPair:
-    """Sorted tables of log-ratios of word pairs and, where a pair is not listed, of single words.
+    """Sorted tables of log-ratios: of kept pairs; else a context's part and a word's part are added.
 
-    Fallback weights are shared, so they cancel, and a word that neither class knows has ratio 1.
+    A context without a row has part 0, a word without one ``unknown``: the ratio of what the
+    classes discount.
     """
 
     pairs: np.ndarray
     pair_llr: np.ndarray
+    contexts: np.ndarray
+    context_llr: np.ndarray
     words: np.ndarray
     word_llr: np.ndarray
-    curve: np.ndarray  # of [mean, worst window, intercept]
+    unknown: float
+    curve: np.ndarray  # of [ratio, intercept]
 
-    def evidence(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each row the ratio per word over the whole text, and in its worst window."""
-        rows = len(at) - 1
-        out = np.zeros((rows, 2))
-        if len(word) == 0:
-            return out
+    def ratios(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log-ratio of each word after the one before it."""
         prev = np.empty_like(word)
         prev[1:] = word[:-1]
-        starts = at[:-1][np.diff(at) > 0]
-        prev[starts] = _START
+        prev[at[:-1][np.diff(at) > 0]] = _START
         llr, hit = _find(self.pairs, self.pair_llr, _pair(prev, word), 0.0)
         miss = np.flatnonzero(~hit)
-        llr[miss] = _find(self.words, self.word_llr, word[miss], 0.0)[0]
-        sums = np.concatenate([[0.0], np.cumsum(llr)])
+        llr[miss] = _find(self.words, self.word_llr, word[miss], self.unknown)[0] + _find(self.contexts, self.context_llr, prev[miss], 0.0)[0]
+        return llr
+
+    def evidence(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each row the ratio per word of its worst window; 0 without words."""
         n = np.diff(at)
+        out = np.zeros(len(n))
+        if len(word) == 0:
+            return out
         full = n > 0
-        out[full, 0] = (sums[at[1:]] - sums[at[:-1]])[full] / n[full]
+        sums = np.concatenate([[0.0], np.cumsum(self.ratios(word, at))])
         ends = np.repeat(at[1:][full], n[full])
+        first = np.repeat(at[:-1][full], n[full])
         here = np.arange(at[0], at[-1])
         stop = np.minimum(here + WINDOW, ends)
-        first = np.repeat(at[:-1][full], n[full])
         begin = np.maximum(np.minimum(here, stop - WINDOW), first)
-        mean = (sums[stop] - sums[begin]) / np.minimum(WINDOW, np.repeat(n[full], n[full]))
-        out[full, 1] = np.maximum.reduceat(mean, at[:-1][full] - at[0])
+        out[full] = np.maximum.reduceat((sums[stop] - sums[begin]) / (stop - begin), at[:-1][full] - at[0])
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return sigmoid(evidence @ self.curve[:-1] + self.curve[-1])
+        return sigmoid(evidence * self.curve[0] + self.curve[1])
 
 
 def _pack(ids: list[np.ndarray], names: np.ndarray, flags: np.ndarray) -> bytes:
@@ -118,8 +131,8 @@ def _unpack(raw: bytes, columns: int) -> tuple[np.ndarray, ...]:
     return *(names[c] for c in own), np.frombuffer(raw, dtype=np.uint8, offset=16 + 8 * used + 4 * columns * n)
 
 
-def _runs(buckets: int, triples: bool):
-    """Distinct runs of words of each ``FLUSH`` words, with one bit for each role that has them.
+def _runs(buckets: int, triples: bool, flush: int = FLUSH):
+    """Distinct runs of words of each ``flush`` words, with one bit for each role that has them.
 
     Pairs are (word, previous) and dealt by the word, triples (previous, word, the one before
     both) and dealt by the previous.
@@ -174,7 +187,7 @@ def _runs(buckets: int, triples: bool):
                 first[at[:-1][np.diff(at) > 0]] = True
                 parts.append((word, first, np.repeat(bits[row : row + len(off) - 1], np.diff(at))))
                 held += len(word)
-                if held >= FLUSH:
+                if held >= flush:
                     yield batch(parts)
                     parts, held = [], 0
         if parts:
@@ -190,8 +203,14 @@ def _unpacked(table: pa.Table, columns: int) -> Iterator[tuple[np.ndarray, ...]]
         yield _unpack(codec.decompress(runs.as_buffer(), size, asbytes=True), columns)
 
 
+TOLD = "variant int, pair long, context long, word long, own0 double, own1 double, fall0 double, fall1 double"
+
+
 def _told(discount: float):
-    """Of one bucket of triples the pairs that tell the classes apart, for both variants."""
+    """Of one bucket of triples the pairs that are left in a class after discounting, for both variants.
+
+    ``own`` is what is left of a pair in its context, ``fall`` what the class discounts from it.
+    """
 
     def tell(table: pa.Table) -> pa.Table:
         parts = [(prev, cur, _pair(_pair(older, prev), cur), flags) for prev, cur, older, flags in _unpacked(table, 3)]
@@ -205,18 +224,19 @@ def _told(discount: float):
                 first = np.unique(triple, return_index=True)[1]  # copies of a text count once
                 prev, cur = prev[first], cur[first]
                 key, first, count = np.unique(_pair(prev, cur), return_index=True, return_counts=True)
-                seen.append((key, prev[first], cur[first], count))
-            keys, first, inverse = np.unique(np.concatenate([x[0] for x in seen]), return_index=True, return_inverse=True)
+                seen.append((key, prev[first], cur[first], count.astype(float)))
+            keys, first = np.unique(np.concatenate([x[0] for x in seen]), return_index=True)
             prevs, curs = (np.concatenate([x[i] for x in seen])[first] for i in (1, 2))
-            both = np.bincount(inverse, weights=np.concatenate([x[3] for x in seen]), minlength=len(keys))
             contexts, context_of = np.unique(prevs, return_inverse=True)
             total = lambda x: np.bincount(context_of, weights=x, minlength=len(contexts))[context_of]  # noqa: B023, E731
-            fall = total(np.minimum(both, discount)) / np.maximum(total(both), 1)
-            left = [np.maximum(_find(x[0], x[3].astype(float), keys, 0.0)[0] - discount, 0) for x in seen]
-            room = [total(x) for x in left]
-            told = (room[0] > 0) & (room[1] > 0) & (left[0] + left[1] > 0)
-            own = [(1 - fall[told]) * x[told] / r[told] for x, r in zip(left, room, strict=True)]
-            out.append(pa.table({"variant": pa.array(np.full(told.sum(), variant, dtype=np.int32)), "pair": keys[told].view(np.int64), "word": curs[told].view(np.int64), "fall": fall[told], "ordinary": own[0], "toxic": own[1]}))
+            counts = [_find(x[0], x[3], keys, 0.0)[0] for x in seen]
+            left = [np.maximum(x - discount, 0) for x in counts]
+            whole = [total(x) for x in counts]
+            told = (left[0] + left[1]) > 0
+            columns = {"variant": np.full(told.sum(), variant, dtype=np.int32), "pair": keys[told].view(np.int64), "context": prevs[told].view(np.int64), "word": curs[told].view(np.int64)}
+            columns |= {f"own{c}": (left[c] / np.maximum(whole[c], 1))[told] for c in (0, 1)}
+            columns |= {f"fall{c}": np.where(whole[c] > 0, 1 - total(left[c]) / np.maximum(whole[c], 1), 1.0)[told] for c in (0, 1)}
+            out.append(pa.table(columns))
         return pa.concat_tables(out)
 
     return tell
@@ -254,109 +274,106 @@ def _followed(discount: float, wanted):
     return count
 
 
-def _tables(pairs: pa.Table, words: pa.Table, discount: float) -> dict:
-    """The model's tables of one variant.
-
-    Both models share their lowest order, the continuation counts that the classes have in
-    common smoothed by those of all documents, and all fallback weights.  A context counts only
-    where both classes keep some of its pairs after discounting, else both fall back: what is
-    rare has a ratio of about one.
-    """
-    o, t, every, n = (words[c].to_numpy().astype(float) for c in ("ordinary", "toxic", "everywhere", "n"))
-    sums = [max(1, (n * x).sum()) for x in (o, t)]
-    common = np.minimum(o / sums[0], t / sums[1])
-    base = FLOOR * every / max(1, every.sum()) + (1 - FLOOR) * common / ((n * common).sum() or 1)
-    fall = sum((n * np.minimum(x, discount)).sum() for x in (o, t)) / sum(sums)
-    kept = [np.maximum(x - discount, 0) for x in (o, t)]
-    single = [(1 - fall) * k / (k.sum() or 1) + fall * base for k in kept]
-    own = np.flatnonzero(words["word"].is_valid().to_numpy())
-    vocab = words["word"].fill_null(0).to_numpy().view(np.uint64)[own]
-    order = own[np.argsort(vocab)]
-    vocab, single = np.sort(vocab), [x[order] for x in single]
-    share, cur = pairs["fall"].to_numpy(), pairs["word"].to_numpy().view(np.uint64)
-    joint = [share * _find(vocab, x, cur, 0.0)[0] + pairs[c].to_numpy() for x, c in zip(single, ("ordinary", "toxic"), strict=True)]
+def _tables(pairs: pa.Table, counts: DataFrame, variant: int, discount: float) -> dict:
+    """The model's tables of one variant; of each word one number comes to the driver."""
+    counts = counts.where(F.col("variant") == variant)
+    left = lambda c: F.greatest(F.col(c) - discount, F.lit(0.0))
+    sums = counts.agg(*(F.sum(F.col("n") * x) for c in ("ordinary", "toxic") for x in (F.col(c).cast("double"), left(c))), F.sum("everywhere").cast("double"), F.sum("n").cast("double")).first()
+    total, kept, (every, kinds) = [sums[0] or 0.0, sums[2] or 0.0], [sums[1] or 0.0, sums[3] or 0.0], [x or 0.0 for x in sums[4:]]
+    fall = [1 - k / n if n else 1.0 for k, n in zip(kept, total, strict=True)]
+    shared = (F.col("everywhere") + 0.5) / F.lit(every + 0.5 * (kinds + 1))
+    prob = [left(c) / F.lit(max(1.0, n)) + shared * f for c, n, f in zip(("ordinary", "toxic"), total, fall, strict=True)]
+    own = counts.where("word IS NOT NULL").select("word", F.log(prob[1] / prob[0]).cast("float").alias("llr"), prob[0].alias("p0"), prob[1].alias("p1"))
+    listed = own.where(F.abs(F.col("llr") - math.log(fall[1] / fall[0])) > 1e-6).select("word", "llr").toArrow()
+    words = listed["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    out = {"words": words[order], "word_llr": listed["llr"].to_numpy()[order], "unknown": math.log(fall[1] / fall[0])}
+    asked = counts.sparkSession.createDataFrame(pa.table({"word": pc.unique(pairs["word"])}))
+    few = own.join(F.broadcast(asked), "word").select("word", "p0", "p1").toArrow().sort_by("word")  # one row for each word of a kept pair
+    at = np.searchsorted(few["word"].to_numpy(), pairs["word"].to_numpy())
+    fell, mine = ([pairs[f"{x}{c}"].to_numpy() for c in (0, 1)] for x in ("fall", "own"))
+    joint = [mine[c] + fell[c] * few[f"p{c}"].to_numpy()[at] for c in (0, 1)]
     keys = pairs["pair"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
+    contexts, first = np.unique(pairs["context"].to_numpy().view(np.uint64), return_index=True)
     f32 = lambda a: a.astype(np.float32)
-    return {"pairs": keys[order], "pair_llr": f32(np.log(joint[1] / joint[0]))[order], "words": vocab, "word_llr": f32(np.log(single[1] / single[0]))}
+    return out | {"pairs": keys[order], "pair_llr": f32(np.log(joint[1] / joint[0]))[order], "contexts": contexts, "context_llr": f32(np.log(fell[1] / fell[0]))[first]}
 
 
-def fit_tables(documents: DataFrame, discount: float = DISCOUNT) -> list[dict]:
+def fit_tables(documents: DataFrame, ws: Workspace, word_discount: float = WORD_DISCOUNT, pair_discount: float = PAIR_DISCOUNT, flush: int = FLUSH) -> list[dict]:
     """Both variants' tables from all rows of ``text, role``, counted where the rows are.
 
     What comes to the driver are the words and pairs that are left after discounting.
     """
-    buckets = max(16, documents.rdd.getNumPartitions() // 2)
+    buckets = max(16, 3 * documents.rdd.getNumPartitions() // 4)
     rows = "bucket int, size long, runs binary"
-    triples = documents.where("role IS NOT NULL").mapInArrow(_runs(buckets, True), rows)
-    pairs = triples.groupBy("bucket").applyInArrow(_told(discount), "variant int, pair long, word long, fall double, ordinary double, toxic double").toArrow()
+    triples = documents.where("role IS NOT NULL").mapInArrow(_runs(buckets, True, flush), rows)
+    pairs = triples.groupBy("bucket").applyInArrow(_told(pair_discount), TOLD).toArrow()
     wanted = documents.sparkSession.sparkContext.broadcast(np.unique(pairs["word"].to_numpy()).view(np.uint64))
-    followed = documents.mapInArrow(_runs(buckets, False), rows).groupBy("bucket")
-    words = followed.applyInArrow(_followed(discount, wanted), "variant int, word long, ordinary long, toxic long, everywhere long, n long").toArrow()
-    of = lambda t, v: t.filter(pc.equal(t["variant"], v))
-    return [_tables(of(pairs, v), of(words, v), discount) for v in range(len(VARIANTS))]
+    followed = documents.mapInArrow(_runs(buckets, False, flush), rows).groupBy("bucket")
+    counts = ws.save(followed.applyInArrow(_followed(word_discount, wanted), "variant int, word long, ordinary long, toxic long, everywhere long, n long"), "counts")
+    return [_tables(pairs.filter(pc.equal(pairs["variant"], v)), counts, v, word_discount) for v in range(len(VARIANTS))]
 
 
 def with_roles(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, float]:
-    """``text, role`` of all documents, and the share of label 1.
+    """``id, text, role`` of all documents, and the share of label 1.
 
     Role 0 is ordinary and 1 toxic, 2 and 3 the same held back for the curve: a fourth of each
     class at most, and ``per_class`` documents, the first by a hash of the id.  All others, those
     of the held-out fold too, have none.
     """
-    labelled = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(remainder("doc_id") != 0)
-    known = labelled.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
-    share = labelled.agg(F.avg("toxic")).first()[0] or 0.0
+    known = training_labels(labels, "toxic")
+    share = known.agg(F.avg("_y")).first()[0] or 0.0
     size = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     order = F.xxhash64("_id")
     held = [known.where(F.col("_y") == y).orderBy(order, "_id").limit(min(per_class, size.get(y, 0) // 4)) for y in (0, 1)]
     held = held[0].unionByName(held[1]).select(F.col("_id").alias("_held"))
     few = sum(size.values()) <= BROADCAST_ROWS  # else the texts move to their labels
     roles = known.join(F.broadcast(held), F.col("_id") == F.col("_held"), "left").select("_id", F.when(F.col("_held").isNull(), F.col("_y")).otherwise(F.col("_y") + 2).alias("role"))
-    return documents.select("doc_id", "text").join(F.broadcast(roles) if few else roles, F.col("doc_id") == F.col("_id"), "left").select("text", "role"), share
+    return documents.select("doc_id", "text").join(F.broadcast(roles) if few else roles, F.col("doc_id") == F.col("_id"), "left").select(F.col("doc_id").alias("id"), "text", "role"), share
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS // 4) -> KneserNeyPair:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> KneserNeyPair:
     """Fit both models on all documents and the curve on a bounded sample.
 
     The curve is fitted by tables without the held-back documents and weighted back to the
     labels' own shares; the tables that are returned count these documents, too.
     """
     rows, share = with_roles(documents, labels, per_class)
-    without, whole = fit_tables(rows)
-    prior = np.array([0.0, 0.0, np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30)])
+    without, whole = fit_tables(rows, Workspace(documents.sparkSession, "toxicity"))
+    prior = np.array([0.0, np.clip(np.log(max(share, 1e-13) / max(1 - share, 1e-13)), -30, 30)])
     model = KneserNeyPair(**whole, curve=prior)
-    sent = documents.sparkSession.sparkContext.broadcast(KneserNeyPair(**without, curve=prior))
-
-    @F.arrow_udf("array<double>")
-    def evidence(texts: pa.Array) -> pa.Array:
-        out = np.zeros((len(texts), 2))
-        for row, raw, off in tb.blocks(texts):
-            out[row : row + len(off) - 1] = sent.value.evidence(*tb.words(raw, off, tb.ALNUM))
-        return pa.array(list(out), pa.list_(pa.float64()))
-
-    held = rows.where("role >= 2").select((F.col("role") - 2).alias("y"), evidence("text").alias("e")).collect()
+    evidence = _column(documents, KneserNeyPair(**without, curve=prior), False)
+    # texts of an id that repeats are told apart by a hash, and only the first of them is sent
+    held = rows.where("role >= 2").groupBy("id").agg(F.min_by(F.struct("text", "role"), F.xxhash64("text")).alias("r"))
+    held = held.select((F.col("r.role") - 2).alias("y"), evidence(F.col("r.text")).alias("e")).collect()
     y = np.array([r["y"] for r in held], dtype=int)
     if len(y) and 0 < y.mean() < 1:
         own = y.mean()
         weight = np.where(y == 1, share / own, (1 - share) / (1 - own))
         order = sorted(range(len(y)), key=lambda i: (held[i]["y"], held[i]["e"]))  # sums in one order
-        model.curve = logistic(np.array([held[i]["e"] for i in order]), y[order], weight[order], ridge=1e-3)
+        model.curve = logistic(np.array([[held[i]["e"]] for i in order]), y[order], weight[order], ridge=1e-3)
     return model
 
 
-def score_column(documents: DataFrame, model: KneserNeyPair, text: str = "text") -> Column:
-    """The probability that ``text`` is toxic, as a column; other columns stay in the JVM."""
+def _column(documents: DataFrame, model: KneserNeyPair, scored: bool):
+    """A function of a text column: its evidence, or its score."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def toxicity(texts: pa.Array) -> pa.Array:
+    def of_text(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts))
         for row, raw, off in tb.blocks(texts):
-            out[row : row + len(off) - 1] = sent.value.score(sent.value.evidence(*tb.words(raw, off, tb.ALNUM)))
+            found = sent.value.evidence(*tb.words(raw, off, tb.ALNUM))
+            out[row : row + len(off) - 1] = sent.value.score(found) if scored else found
         return pa.array(out)
 
-    return toxicity(F.col(text))
+    return of_text
+
+
+def score_column(documents: DataFrame, model: KneserNeyPair, text: str = "text") -> Column:
+    """The probability that ``text`` is toxic, as a column; other columns stay in the JVM."""
+    return _column(documents, model, True)(F.col(text))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

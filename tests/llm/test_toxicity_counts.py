@@ -2,13 +2,14 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from quern.llm import textblock as tb
 from quern.llm import toxicity
+from quern.sources.workspace import Workspace
 
 
 def _hash(words):
@@ -19,8 +20,8 @@ def _hash(words):
     return np.array(out, dtype=np.uint64)
 
 
-def _brute(rows, counted, d):
-    """``{word: ratio}`` and ``{(prev, word): ratio}`` of all words and pairs with some counts left."""
+def _brute(rows, counted, d1, d2):
+    """The ratio of every pair of known words by the definition of the two models, and that of unknown words."""
     triples, every = {0: set(), 1: set()}, set()
     for text, role in rows:
         prev, older = "<", "<"
@@ -29,59 +30,49 @@ def _brute(rows, counted, d):
             if role in counted:
                 triples[role % 2].add((older, prev, w))
             older, prev = prev, w
-    pair = {c: defaultdict(int) for c in (0, 1)}
-    for c in (0, 1):
-        for _, p, w in triples[c]:
-            pair[c][p, w] += 1
-    before = {c: defaultdict(int) for c in (0, 1)}
-    for c in (0, 1):
-        for _, w in pair[c]:
-            before[c][w] += 1
-    follow = defaultdict(int)
-    for _, w in every:
-        follow[w] += 1
-    vocab = set(follow)
-    total = {c: max(1, sum(before[c].values())) for c in (0, 1)}
-    common = {w: min(before[c][w] / total[c] for c in (0, 1)) for w in vocab}
-    fall = sum(min(before[c][w], d) for c in (0, 1) for w in vocab) / sum(total.values())
-    base = {w: toxicity.FLOOR * follow[w] / sum(follow.values()) + (1 - toxicity.FLOOR) * common[w] / (sum(common.values()) or 1) for w in vocab}
-    kept = {c: {w: max(before[c][w] - d, 0) for w in vocab} for c in (0, 1)}
-    single = {c: {w: (1 - fall) * kept[c][w] / (sum(kept[c].values()) or 1) + fall * base[w] for w in vocab} for c in (0, 1)}
-    words = {w: math.log(single[1][w] / single[0][w]) for w in vocab if kept[0][w] or kept[1][w]}
-    pairs = {}
-    left = {c: {k: max(n - d, 0) for k, n in pair[c].items()} for c in (0, 1)}
-    for p in {k[0] for c in (0, 1) for k in pair[c]}:
-        own = {k for c in (0, 1) for k in pair[c] if k[0] == p}
-        both = {k: pair[0].get(k, 0) + pair[1].get(k, 0) for k in own}
-        back = sum(min(n, d) for n in both.values()) / sum(both.values())
-        room = {c: sum(left[c].get(k, 0) for k in own) for c in (0, 1)}
-        if room[0] and room[1]:
-            for k in own:
-                if left[0].get(k, 0) + left[1].get(k, 0):
-                    joint = [back * single[c][k[1]] + (1 - back) * left[c].get(k, 0) / room[c] for c in (0, 1)]
-                    pairs[k] = math.log(joint[1] / joint[0])
-    return words, pairs
+    follow = Counter(w for _, w in every)
+    shared = lambda w: (follow[w] + 0.5) / (len(every) + 0.5 * (len(follow) + 1))
+
+    def model(c):
+        pair = Counter((p, w) for _, p, w in triples[c])
+        before = Counter(w for _, w in pair)
+        n = sum(before.values())
+        back = sum(min(x, d1) for x in before.values()) / n if n else 1.0
+        single = lambda w: max(before[w] - d1, 0) / max(n, 1) + back * shared(w)
+
+        def of(p, w):
+            own = {k: x for k, x in pair.items() if k[0] == p}
+            m = sum(own.values())
+            if not m:
+                return single(w)
+            return max(pair[p, w] - d2, 0) / m + sum(min(x, d2) for x in own.values()) / m * single(w)
+
+        return of, back
+
+    (ordinary, back0), (toxic, back1) = model(0), model(1)
+    vocab = sorted(follow)
+    return {(p, w): math.log(toxic(p, w) / ordinary(p, w)) for p in ["<", *vocab] for w in vocab}, math.log(back1 / back0)
 
 
 @pytest.mark.parametrize("flush", [50, 1_500_000])
-def test_tables_equal_brute_force(spark, flush, monkeypatch):
-    monkeypatch.setattr(toxicity, "FLUSH", flush)
+def test_tables_equal_brute_force(spark, flush):
     draw = random.Random(3)
     words = [f"w{i}" for i in range(25)]
     rows = [(" ".join(draw.choices(words, weights=range(25, 0, -1), k=draw.randrange(60))), draw.choice([None, 0, 0, 1, 2, 3])) for _ in range(60)]
     rows += [(None, 0), ("", 1), ("w1", 1), (rows[0][0], 1), rows[1], rows[1]]
-    got = toxicity.fit_tables(spark.createDataFrame(rows, "text string, role int").repartition(3), discount=2.0)
+    got = toxicity.fit_tables(spark.createDataFrame(rows, "text string, role int").repartition(3), Workspace(spark, "test"), 2.0, 2.0, flush)
     for table, counted in zip(got, ((0, 1), (0, 1, 2, 3)), strict=True):
-        singles, pairs = _brute(rows, counted, 2.0)
-        found = dict(zip(table["words"].tolist(), table["word_llr"].tolist(), strict=True))
-        for w, h in zip(singles, _hash(singles).tolist(), strict=True):
-            assert found.pop(h) == pytest.approx(singles[w], abs=1e-5)
-        assert all(abs(x) < 1e-5 for x in found.values())
-        prev = [toxicity._START if p == "<" else _hash([p])[0] for p, _ in pairs]
-        keys = toxicity._pair(np.array(prev, dtype=np.uint64), _hash([w for _, w in pairs]))
-        found = dict(zip(table["pairs"].tolist(), table["pair_llr"].tolist(), strict=True))
-        assert len(pairs) > 10 and set(found) == set(keys.tolist())
-        assert [found[k] for k in keys.tolist()] == pytest.approx(list(pairs.values()), abs=1e-5)
+        told, unknown = _brute(rows, counted, 2.0, 2.0)
+        model = toxicity.KneserNeyPair(**table, curve=np.zeros(2))
+        assert len(model.pairs) > 10 and len(model.contexts) > 3 and model.unknown == pytest.approx(unknown)
+        for (p, w), ratio in told.items():
+            text = [w] if p == "<" else [p, w]
+            assert model.ratios(_hash(text), np.array([0, len(text)]))[-1] == pytest.approx(ratio, abs=1e-5)
+        # the worst window by hand
+        text = draw.choices(words, k=30)
+        at = [told[p, w] for p, w in zip(["<", *text[:-1]], text, strict=True)]
+        worst = max(sum(at[i : i + toxicity.WINDOW]) / toxicity.WINDOW for i in range(30 - toxicity.WINDOW + 1))
+        assert model.evidence(_hash(text), np.array([0, 0, 30])).tolist() == pytest.approx([0.0, worst], abs=1e-5)
 
 
 def test_long_rows_count(spark):
