@@ -30,10 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality, corrected by source and language, is at least even."""
     ship(spark)
-    model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("_site_path", F.concat_ws("/", "source", "lang")).withColumn("_p", quality.document_probability(docs, model))
-    posteriors = quality.path_posteriors(scored.select("source", "_site_path", "_p"), "source", "_site_path", "_p", Workspace(spark, "quality"))
-    return quality.with_quality(scored, posteriors, "source", "_site_path", "_p").where(F.col("quality") >= quality.THRESHOLD).select(*docs.columns)
+    training = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.concat_ws("/", "source", "lang"), Workspace(spark, "quality"), training)
+    return scored.where(F.col("quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
