@@ -7,13 +7,18 @@ the rest by weight; what a whole family cannot use goes to the family's siblings
 leaf of budget b and s tokens takes each of its documents floor(b / s) times and then, in the
 order of md5(seed:epoch:doc_id), the longest prefix of one more epoch that stays within b.
 
-Only token counts and sums by leaf are shuffled, never texts, and the prefix of a leaf is found
-from sums by the digest's first digits and one such slice, so a leaf with a third of the rows
-is never sorted in one task.
+A child of weight 0 has no room, so what it might have used stays with its siblings.
+
+Only token counts and sums by leaf are shuffled, never texts.  The end of a leaf's prefix is found
+by ``ROUNDS`` rounds of sums by the next ``DIGITS`` digits of the digest, each inside the slice
+that the budget ended in before, and among the rows of the last slice, so a leaf with a third of
+the rows is never sorted in one task.
 
 Odd rows: a null text counts 0 tokens; null levels are nodes of their own; null ids share one
 place in the order; equal digests (repeated ids) are taken together or not at all; a leaf
-without tokens, and a node of weight 0, yields nothing; an empty table yields no rows.
+without tokens, and a node of weight 0, yields nothing; an empty table yields no rows; input
+columns that are named like an added one are replaced, all others stay; a text of any length is
+counted whole.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.labelled import fresh
 from quern.sources.workspace import Workspace
 
 WORD = r"[^\x09-\x0D\x20]+"
-DIGITS = 4
+DIGITS = 2
+ROUNDS = 3
 LEVELS = ("domain", "language", "source")
 #: Relative weights among siblings by path; 1 where none is given.
 WEIGHTS = {"domain0": 2.0, "domain1": 1.0, "domain2": 1.0, "domain3": 1.0}
@@ -70,9 +77,13 @@ def leaf_budgets(leaves: DataFrame, weight: dict[int, Column], share: float, max
     ``weight`` has a column over n0, n1, n2 for each level; other levels weigh 1.
     """
     keys = ["n0", "n1", "n2"]
-    rooms = leaves.withColumn("room2", F.col("tokens").cast("double") * max_epochs)
-    family = rooms.groupBy("n0", "n1").agg(F.sum("room2").alias("room1"))
-    top = family.groupBy("n0").agg(F.sum("room1").alias("room0"))
+    def room(nodes: DataFrame, depth: int, usable: Column) -> DataFrame:
+        own = F.coalesce(weight.get(depth, F.lit(1.0)), F.lit(1.0)).cast("double")
+        return nodes.withColumn("weight", own).withColumn(f"room{depth}", F.when(F.col("weight") > 0, usable).otherwise(0.0)).drop("weight")
+
+    rooms = room(leaves, 2, F.col("tokens").cast("double") * max_epochs)
+    family = room(rooms.groupBy("n0", "n1").agg(F.sum("room2").alias("_r")), 1, F.col("_r")).drop("_r")
+    top = room(family.groupBy("n0").agg(F.sum("room1").alias("_r")), 0, F.col("_r")).drop("_r")
     total = leaves.agg(F.floor(F.sum(F.col("tokens").cast("double")) * share).cast("double")).first()[0] or 0.0
     given = top.withColumn("budget", F.lit(float(total)))
     for depth, (nodes, room) in enumerate(((top, "room0"), (family, "room1"), (rooms, "room2"))):
@@ -100,6 +111,12 @@ def _same(a: str, b: str, keys=("n0", "n1", "n2")) -> Column:
     return match
 
 
+def _within(placed: DataFrame, crossed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` in the slice of their leaf, with ``before``: the tokens of the slices before it."""
+    same = _same("d", "c") & F.startswith(F.col("d.place"), F.col("c.slice"))
+    return placed.alias("d").join(crossed.alias("c"), same).select("d.*", "c.before")
+
+
 def selection(narrow: DataFrame, weight: dict[int, Column], share: float, max_epochs: int, seed: int, ws: Workspace) -> DataFrame:
     """For every leaf ``(n0, n1, n2, epochs, last)``: whole epochs, and the last place taken in one more.
 
@@ -111,11 +128,14 @@ def selection(narrow: DataFrame, weight: dict[int, Column], share: float, max_ep
     plan = ws.save(plan, "plan")
     keys = ["n0", "n1", "n2"]
     placed = narrow.alias("d").join(plan.select(*keys, "epochs", "rest").alias("p"), _same("d", "p")).select(*(f"d.{k}" for k in keys), "d.tokens", "p.rest", place(seed, F.col("p.epochs"), F.col("d.doc_id")).alias("place"))
-    sliced = placed.groupBy(*keys, F.substring("place", 1, DIGITS).alias("slice")).agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
-    upto = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
-    crossed = sliced.withColumn("upto", upto).where("upto > rest").groupBy(*keys).agg(F.min("slice").alias("slice"), F.min_by(F.col("upto") - F.col("tokens"), "slice").alias("before"))
-    crossed = ws.save(crossed, "crossed")
-    inside = placed.alias("d").join(crossed.alias("c"), _same("d", "c") & (F.substring("d.place", 1, DIGITS) == F.col("c.slice"))).select(*(f"d.{k}" for k in keys), "place", "tokens", "rest", "before")
+    crossed = plan.select(*keys, F.lit("").alias("slice"), F.lit(0).cast("long").alias("before"))
+    for done in range(ROUNDS):
+        # each leaf's budget ends in a slice, since it is less than one epoch
+        here = _within(placed, crossed).groupBy(*keys, F.substring("place", 1, DIGITS * (done + 1)).alias("slice")).agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.first("before").alias("start"))
+        upto = F.col("start") + F.sum("tokens").over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
+        ended = here.withColumn("upto", upto).where("upto > rest").groupBy(*keys).agg(F.min("slice").alias("slice"), F.min_by(F.col("upto") - F.col("tokens"), "slice").alias("before"))
+        crossed = ws.save(ended, f"crossed{done}")
+    inside = _within(placed, crossed)
     sofar = F.col("before") + F.sum("tokens").over(Window.partitionBy(*keys).orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
     taken = inside.withColumn("sofar", sofar).where("sofar <= rest").groupBy(*keys).agg(F.max("place").alias("place"))
     out = plan.alias("p").join(crossed.alias("c"), _same("p", "c"), "left").join(taken.alias("t"), _same("p", "t"), "left")
@@ -127,14 +147,18 @@ def mix(documents: DataFrame, levels: list[Column], weight: dict[int, Column], w
     named = [c.cast("string").alias(f"n{i}") for i, c in enumerate(levels)]
     narrow = ws.save(documents.select(F.col(id_col).alias("doc_id"), *named, token_count(F.col(text_col)).alias("tokens")), "narrow")
     chosen = selection(narrow, weight, share, max_epochs, seed, ws)
-    chosen = chosen.select(*(F.col(f"n{i}").alias(f"_n{i}") for i in range(3)), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
+    name = {c: fresh(documents.columns, f"_{c}") for c in chosen.columns}
+    chosen = chosen.select(*(F.col(c).alias(n) for c, n in name.items()))
     match = F.lit(True)
     for i, c in enumerate(levels):
-        match = match & c.cast("string").eqNullSafe(F.col(f"_n{i}"))
+        match = match & c.cast("string").eqNullSafe(F.col(name[f"n{i}"]))
     # one row for each leaf on the right
-    copies = F.col("_epochs") + F.when(place(seed, F.col("_epochs"), F.col(id_col)) <= F.col("_last"), 1).otherwise(0)
-    joined = documents.join(chosen, match).withColumn("_copies", copies).where("_copies > 0")
-    return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).drop("_copies", "_epochs", "_last")
+    last = F.when(place(seed, F.col(name["epochs"]), F.col(id_col)) <= F.col(name["last"]), 1).otherwise(0)
+    copies = fresh([*documents.columns, *name.values()], "_copies")
+    joined = documents.join(chosen, match).withColumn(copies, F.col(name["epochs"]) + last).where(F.col(copies) > 0)
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))
+    added = {"_epoch": epochs} | {f"_n{i}": F.col(name[f"n{i}"]) for i in range(3)}
+    return joined.select(*(F.col(f"`{c}`") for c in documents.columns if c not in added), *(e.alias(c) for c, e in added.items()))
 
 
 def default_levels(source: str = "source", lang: str = "lang") -> list[Column]:
