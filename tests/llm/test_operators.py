@@ -1,11 +1,9 @@
 """Small checks of the training-data operators, odd rows included."""
 
-import hashlib
-
 import pyarrow as pa
 import sentencepiece
 
-from quern.llm import chat, merkle, pieces, urls
+from quern.llm import chat, pieces, urls
 from quern.llm.licences import ANCHORS, SENTENCES, scan
 
 
@@ -54,18 +52,6 @@ def test_digest_array(tmp_path):
     assert verdict == ["allow", "block", None, "block", None]
 
 
-def test_merkle(spark):
-    rows = [(3, "a b. c\n\nd"), (1, "x" * 40), (2, None), (7, "a b. c\n\nd")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").na.fill("")
-    out = merkle.with_next(merkle.with_fingerprint(df, "text", "fp"), "doc_id", "text", 1).collect()
-    nxt = {r["doc_id"]: r["next"] for r in out}
-    assert nxt == {1: "", 2: "a b. c\n\nd", 3: "a b. c\n\nd", 7: "x" * 40}
-    fp = {r["doc_id"]: r["fp"] for r in out}
-    assert fp[3] == fp[7] != fp[1]
-    root = hashlib.sha256(hashlib.md5(b"").hexdigest().encode()).hexdigest()
-    assert fp[2] == f"{root}:"
-
-
 def test_encode_rows(spark):
     rows = [(1, "a  b\n▁c"), (2, None), (3, ""), (None, "漢🙂"), (1, "a  b\n▁c"), (4, "word " * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS ids", "'x' AS n_tokens")
