@@ -9,7 +9,10 @@ blank lines and copyright lines are ends but ';' and 'v. ' are not (the wrapped
 authors set them).  A rule may match in any; what the sections show comes on top of the others.
 
 Texts without any of the words that every known sentence contains are not cut at all; they can
-match nothing.  Null and empty texts have no licences.
+match nothing.  Null and empty texts have no licences, texts of any length are read whole,
+repeated rows and ids are scanned each for itself, a licence that several rules find is named once,
+and an empty table gives an empty result.  Input columns that are named like an added one are
+replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.labelled import fresh
+
 # Normalised sentences of public licence texts and notices, by identifier.
 SENTENCES = {
     1: "released under the mit license",
@@ -63,6 +68,37 @@ RULES = (
 _URL = ("http www apache org licenses license 2 0", "https www apache org licenses license 2 0")
 _AT = "you may obtain a copy of the license at"
 _CONDITIONS, _NOTICE = SENTENCES[20].split(" the above copyright notice ")
+# More sentences of public licence texts, which only sections are searched for.
+MORE_SENTENCES = {
+    40: "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    41: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    42: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    43: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    44: "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    45: "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    46: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    47: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    48: "see the gnu lesser general public license for more details",
+    49: "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    50: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    51: "see the gnu affero general public license for more details",
+    52: "this software is provided as is without any express or implied warranty",
+    53: "in no event will the authors be held liable for any damages arising from the use of this software",
+    54: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    55: "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    56: "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required",
+    57: "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    58: "this notice may not be removed or altered from any source distribution",
+    59: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    60: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    61: "this software is distributed without any warranty",
+}
+# Their licences as ordered sentence identifiers.
+MORE_RULES = (
+    ("BSD-3-Clause", "text", (40, 41, 42, 43, 44, 45)), ("BSD-2-Clause", "text", (40, 41, 42, 44, 45)),
+    ("LGPL-2.1-or-later", "header", (46, 47, 48)), ("LGPL-3.0-or-later", "header", (49, 13, 48)), ("AGPL-3.0-or-later", "header", (50, 13, 51)),
+    ("Zlib", "text", (52, 53, 54, 55, 56, 57, 58)), ("EPL-2.0", "notice", (59,)), ("CC0-1.0", "text", (60, 61)),
+)
 #: Sentences as sections cut them; one identifier may have several spellings.
 SECTION_SENTENCES = (
     {s: i for i, s in SENTENCES.items()}
@@ -71,11 +107,16 @@ SECTION_SENTENCES = (
     | {f"{u} {SENTENCES[8]}": 36 for u in _URL}
     | {f"{_AT} {u} {SENTENCES[8]}": 37 for u in _URL}
     | {_CONDITIONS: 38, f"the above copyright notice {_NOTICE}": 39}
+    | {s: i for i, s in MORE_SENTENCES.items()}
+    # the number of a first item that follows without a blank line
+    | {f"{MORE_SENTENCES[i]} 1": i for i in (40, 54)}
+    | {MORE_SENTENCES[45].replace("copyright holder or", f"copyright {who} or"): 45 for who in ("owner", "holders")}
 )
 #: More licences as ordered identifiers, for sections only.
 SECTION_RULES = (
     *(("Apache-2.0", "header", (*start, *rest, 9)) for start in ((33,), (5, 6), (4, 6)) for rest in ((7, 8), (34, 35, 8), (34, 36), (37,))),
     ("MIT", "text", (38, 39, 21, 22)),
+    *MORE_RULES,
 )
 #: Every known sentence contains one of these.
 ANCHORS = ("license", "licensed", "permission", "warranty", "software", "mpl")
@@ -114,18 +155,21 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     for word in ANCHORS:
         may = may | F.contains(low, F.lit(word))
     empty = F.array().cast("array<int>")
-    cuts = {"_wrapped": lambda c: known_ids(c, ENDS), "_lines": lambda c: known_ids(c, LINE_ENDS), "_sections": section_ids}
-    with_ids = documents.withColumn("_low", F.when(may, low))
+    cuts = {fresh(documents.columns, name): cut for name, cut in (("_wrapped", lambda c: known_ids(c, ENDS)), ("_lines", lambda c: known_ids(c, LINE_ENDS)), ("_sections", section_ids))}
+    wrapped, lines, own = cuts
+    lower = fresh(documents.columns, "_low")
+    with_ids = documents.withColumn(lower, F.when(may, low))
     for name, cut in cuts.items():
-        with_ids = with_ids.withColumn(name, F.when(F.col("_low").isNotNull(), cut(F.col("_low"))).otherwise(empty))
+        with_ids = with_ids.withColumn(name, F.when(F.col(lower).isNotNull(), cut(F.col(lower))).otherwise(empty))
     joined = lambda c: F.concat(F.lit(","), F.array_join(F.col(c).cast("array<string>"), ","), F.lit(","))
     names = []
     for name, _, ids in (*RULES, *SECTION_RULES):
         mark = F.lit("," + ",".join(map(str, ids)) + ",")
-        names.append(F.when(F.contains(joined("_wrapped"), mark) | F.contains(joined("_lines"), mark) | F.contains(joined("_sections"), mark), F.lit(name)))
-    found = F.when((F.size("_wrapped") + F.size("_lines") + F.size("_sections")) > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*names))))).otherwise(F.array().cast("array<string>"))
-    others = F.filter("_sections", lambda i: ~F.array_contains(F.concat("_lines", "_wrapped"), i))
-    return with_ids.withColumn("licences", found).withColumn("sentence_ids", F.concat("_lines", "_wrapped", others)).drop("_low", *cuts)
+        names.append(F.when(F.contains(joined(wrapped), mark) | F.contains(joined(lines), mark) | F.contains(joined(own), mark), F.lit(name)))
+    found = F.when((F.size(wrapped) + F.size(lines) + F.size(own)) > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*names))))).otherwise(F.array().cast("array<string>"))
+    others = F.filter(own, lambda i: ~F.array_contains(F.concat(lines, wrapped), i))
+    added = {"licences": found, "sentence_ids": F.concat(lines, wrapped, others)}
+    return with_ids.select(*(F.col(f"`{c}`") for c in documents.columns if c not in added), *(e.alias(c) for c, e in added.items()))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
