@@ -3,13 +3,18 @@
 A turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings inside roles and
 texts get a backslash after their first character (one more where there are backslashes
 already), which ``unescape`` takes out again; so no text can forge a turn, and every text can
-be read back.  The lengths of all segments of a batch are known before anything is written:
-their cumulative sums give each segment's place in one preallocated buffer, into which numpy
-scatters headers and contents, and which becomes the Arrow column as it is.
+be read back.  The lengths of all segments of a block of rows are known before anything is
+written: their cumulative sums give each segment's place in one preallocated buffer, into which
+numpy scatters headers and contents.  The turns of a conversation lie side by side there, so the
+buffer becomes the Arrow column of conversations as it is, with their bounds as offsets; only a
+conversation that goes on in the next block is copied once more.
 
 Rows of a conversation are ordered by turn, then role, then text; null roles and texts count as
-empty, null turns come first, null conversations are one conversation.  The loss mask covers
-the texts of assistant turns, as (start, length) in code points of the formatted text.
+empty, null turns come first, null conversations are one conversation, repeated rows are turns of
+their own, an empty table has no conversations, and extra columns are ignored.  A block holds
+about ``BLOCK_BYTES`` of text, or one longer text; a conversation is one value and at most 2 GB.
+The loss mask covers the texts of assistant turns, as (start, length) in code points of the
+formatted text.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 CONTROL = r"([<\[])(\\*(?:\||/?s>|/?SYS>>|/?INST\]))"
 ESCAPED = r"([<\[])\\(\\*(?:\||/?s>|/?SYS>>|/?INST\]))"
 #: A role is one line, so its line feeds and backslashes are written as escapes too.
+BLOCK_BYTES = 4 << 20
 SCHEMA = "conv_id long, formatted string, loss array<struct<start:long,length:long>>, n_turns long"
 
 _unescape = re.compile(ESCAPED)
@@ -89,50 +95,77 @@ def format_turns(role: pa.Array, text: pa.Array) -> tuple[pa.Array, np.ndarray,
     return turns, head, pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+_LOSS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
+
+def _conversations(conv: pa.Array, data: np.ndarray, off: np.ndarray, loss: np.ndarray, loss_off: np.ndarray, turns: np.ndarray) -> pa.RecordBatch:
+    """Conversations whose text lies side by side in ``data`` and whose (start, length) in ``loss``."""
+    text = pa.LargeStringArray.from_buffers(len(conv), pa.py_buffer(np.ascontiguousarray(off, dtype=np.int64)), pa.py_buffer(data))
+    spans = pa.StructArray.from_arrays([pa.array(loss[:, 0]), pa.array(loss[:, 1])], names=["start", "length"])
+    lists = pa.ListArray.from_arrays(pa.array(loss_off.astype(np.int32)), spans)
+    return pa.RecordBatch.from_arrays([conv, text.cast(pa.string()), lists.cast(_LOSS), pa.array(turns.astype(np.int64))], names=["conv_id", "formatted", "loss", "n_turns"])
+
+
 class _Open:
     """The conversation that a partition is in the middle of."""
 
     def __init__(self, conv) -> None:
         self.conv, self.parts, self.loss, self.chars, self.turns = conv, [], [], 0, 0
 
+    def add(self, data: np.ndarray, loss: np.ndarray, chars: int, turns: int) -> None:
+        self.parts.append(data.copy())
+        self.loss.append(loss + np.array([[self.chars, 0]]))
+        self.chars += chars
+        self.turns += turns
 
-def _assemble_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Conversations of rows sorted by conversation and turn."""
-    schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("n_turns", pa.int64())])
+    def done(self) -> pa.RecordBatch:
+        data, loss = np.concatenate(self.parts), np.concatenate(self.loss)
+        return _conversations(pa.array([self.conv], pa.int64()), data, np.array([0, len(data)]), loss, np.array([0, len(loss)]), np.array([self.turns]))
 
-    def batch_of(done: list[_Open]) -> pa.RecordBatch:
-        loss = [[{"start": s, "length": m} for s, m in c.loss] for c in done]
-        return pa.RecordBatch.from_arrays([pa.array([c.conv for c in done], pa.int64()), pa.array(["".join(c.parts) for c in done], pa.string()), pa.array(loss, schema.field("loss").type), pa.array([c.turns for c in done], pa.int64())], schema=schema)
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = np.cumsum(pc.binary_length(batch.column(2).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(sizes):
+        end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + BLOCK_BYTES, side="right")))
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def _assemble_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations of rows sorted by conversation and turn."""
     now: _Open | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        conv = batch.column(0)
-        turns, head, length = format_turns(batch.column(1), batch.column(2))
-        chars = pc.utf8_length(turns).to_numpy(zero_copy_only=False).astype(np.int64)
-        told = pc.equal(batch.column(1).fill_null(""), "assistant").to_numpy(zero_copy_only=False)
+    for block in (b for batch in batches for b in _blocks(batch)):
+        conv = block.column(0)
+        turns, head, length = format_turns(block.column(1), block.column(2))
+        chars = np.concatenate([[0], np.cumsum(pc.utf8_length(turns).to_numpy(zero_copy_only=False).astype(np.int64))])
+        told = np.flatnonzero(pc.equal(block.column(1).fill_null(""), "assistant").to_numpy(zero_copy_only=False))
         ids = conv.fill_null(0).to_numpy(zero_copy_only=False)
         null = conv.is_null().to_numpy(zero_copy_only=False)
         edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]), [True]]))
         data, off = _bytes(turns)
-        done = []
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            own = None if null[a] else int(ids[a])
-            if now is None or now.conv != own:
-                if now is not None:
-                    done.append(now)
-                now = _Open(own)
-            # the turns of a conversation lie side by side in the buffer
-            now.parts.append(data[off[a] : off[b]].tobytes().decode())
-            upto = now.chars + np.concatenate([[0], np.cumsum(chars[a:b])])
-            now.loss += [(int(upto[i - a] + head[i]), int(length[i])) for i in range(a, b) if told[i]]
-            now.chars = int(upto[-1])
-            now.turns += int(b - a)
-        if done:
-            yield batch_of(done)
+        # the mask counts from the start of its conversation
+        start = chars[edge[np.searchsorted(edge, told, side="right") - 1]]
+        loss = np.column_stack([chars[told] - start + head[told], length[told]]).astype(np.int64).reshape(-1, 2)
+        at = np.searchsorted(told, edge)
+        part = lambda g: (data[off[edge[g]] : off[edge[g + 1]]], loss[at[g] : at[g + 1]], int(chars[edge[g + 1]] - chars[edge[g]]), int(edge[g + 1] - edge[g]))  # noqa: B023, E731
+        first, last = 0, len(edge) - 2
+        if now is not None:
+            if now.conv == (None if null[0] else int(ids[0])):
+                now.add(*part(0))
+                first = 1
+            if first <= last:
+                yield now.done()
+                now = None
+        if first <= last:
+            if first < last:
+                whole = edge[first : last + 1]
+                inner = slice(at[first], at[last])
+                yield _conversations(conv.take(pa.array(whole[:-1])), data, off[whole], loss[inner], at[first : last + 1] - at[first], np.diff(whole))
+            now = _Open(None if null[edge[last]] else int(ids[edge[last]]))
+            now.add(*part(last))
     if now is not None:
-        yield batch_of([now])
+        yield now.done()
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ a count for each vector and one edge for each vector and neighbourhood, never th
 vectors are one, with a weight.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing.  Vectors of
-different numbers of components are not compared; each number has a forest of its own.  Rows of one id are rows of their own; a null id keeps null.
+different numbers of components are not compared; each number has a forest of its own.  Rows of
+one id are rows of their own, joined in one component; a null id keeps null and links with
+nothing.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from quern.sources.workspace import Workspace
 
 THRESHOLD = 0.95
 TREES = 5
-#: Vectors that the trees are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors that the trees are fitted on: one of ``SHARE``, ``SAMPLE`` at least and ``MOST`` at most.
+SAMPLE, SHARE, MOST = 20_000, 50, 200_000
 LEAF = 400
 #: Rows on a side of a block.
 SIDE = 2048
@@ -103,24 +105,44 @@ def grow(sample: np.ndarray, total: int, seed: int, threshold: float, leaf: int
     return Tree(np.array(direction), np.array(cut), np.array(left), np.array(right), np.array(blocks), margin)
 
 
-def unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and which rows have one."""
+def raw(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in double precision, and which rows are a finite vector of this size that is not zero."""
     out, good = np.zeros((len(column), dim)), np.zeros(len(column), dtype=bool)
     column = column.cast(pa.large_list(pa.float64()))
     size = np.diff(column.offsets.to_numpy())
     fits = np.flatnonzero((size == dim) & ~column.is_null().to_numpy(zero_copy_only=False))
     if len(fits):
         flat = column.values.to_numpy(zero_copy_only=False)
-        at = column.offsets.to_numpy()[fits][:, None] + np.arange(dim)
-        v = flat[at]
-        top = np.abs(v).max(axis=1)
-        fine = np.isfinite(v).all(axis=1) & (top > 0)
-        v, fits, top = v[fine], fits[fine], top[fine]
-        v = v / top[:, None]
-        out[fits], good[fits] = v / np.linalg.norm(v, axis=1, keepdims=True), True
+        v = flat[column.offsets.to_numpy()[fits][:, None] + np.arange(dim)]
+        out[fits] = v
+        good[fits] = np.isfinite(v).all(axis=1) & (np.abs(v).max(axis=1) > 0)
     return out, good
 
 
+def normed(v: np.ndarray) -> np.ndarray:
+    """Unit vectors; rows are scaled first, so that no square overflows."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in double precision and which rows have one."""
+    out, good = raw(column, dim)
+    out[good], out[~good] = normed(out[good]) if good.any() else 0, 0
+    return out, good
+
+
+def _bytes(v: np.ndarray) -> list[bytes]:
+    """Rows as bytes: single precision where that is exact, else double."""
+    short = v.astype(np.float32)
+    exact = (short.astype(np.float64) == v).all(axis=1)
+    return [s.tobytes() if e else d.tobytes() for s, d, e in zip(short, v, exact, strict=True)]
+
+
+def _vectors(values: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.array([np.frombuffer(b, dtype=np.float64 if len(b) == 8 * dim else np.float32) for b in (v.as_buffer() for v in values)], dtype=np.float64)
+
+
 def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Least row reachable from each of ``n`` rows."""
     label = np.arange(n)
@@ -141,7 +163,8 @@ def _deal(trees, dim: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             weight = batch.column(2).to_numpy(zero_copy_only=False)
-            x, _ = unit(batch.column(1), dim)
+            v, _ = raw(batch.column(1), dim)
+            x, packed = normed(v), _bytes(v)
             homes: list[list[int]] = [[] for _ in ids]
             for t, tree in enumerate(trees.value):
                 rows, nodes = tree.leaves(x)
@@ -159,11 +182,10 @@ def _deal(trees, dim: int):
                 take = rows[copies]
                 off = np.concatenate([[0], np.cumsum([len(lists[r]) for r in take], dtype=np.int64)]).astype(np.int32)
                 flat = np.concatenate([lists[r] for r in take]) if len(take) else np.zeros(0, dtype=np.int64)
-                vectors = x[take]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(take), t, dtype=np.int32)), pa.array(nodes[copies].astype(np.int32)), pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)),
-                        pa.array((mine <= other)), pa.array((mine >= other)), pa.array(ids[take]), pa.array(weight[take]), pa.array([v.tobytes() for v in vectors], type=pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
+                        pa.array((mine <= other)), pa.array((mine >= other)), pa.array(ids[take]), pa.array(weight[take]), pa.array([packed[r] for r in take], type=pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
                     ],
                     names=["tree", "leaf", "i", "j", "row", "col", "id", "weight", "x", "homes"],
                 )
@@ -171,12 +193,12 @@ def _deal(trees, dim: int):
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, dim: int):
     """Counts of links and edges of one block, kind 0: (id, links), kind 1: (id, id)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
-        x = np.frombuffer(b"".join(v.as_py() for v in table["x"]), dtype=np.float64).reshape(len(ids), -1)
+        x = normed(_vectors(table["x"], dim))
         here = (table["tree"][0].as_py() << 32) | table["leaf"][0].as_py()
         diagonal = table["i"][0].as_py() == table["j"][0].as_py()
         homes = table["homes"].to_pylist()
@@ -216,7 +238,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, ws: Workspace, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, ws: Workspace, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, side: int = SIDE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each row of ``vectors``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -230,12 +252,12 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, id_col: str = "vec_id", v
     found = spark.createDataFrame([], "kind int, a long, b long")
     for dim, total in sizes:  # a forest for each number of components
         alike = kept.where(F.size("v") == dim)
-        picked = alike.orderBy(F.xxhash64("c", F.lit(SEED)), "c").limit(sample).select("c", "v").toArrow()
+        picked = alike.orderBy(F.xxhash64("c", F.lit(SEED)), "c").limit(max(sample, min(MOST, total // SHARE))).select("c", "v").toArrow()
         at, _ = unit(pa.chunked_array(picked["v"]).combine_chunks(), dim)
         order = np.argsort(picked["c"].to_numpy())
-        sent = spark.sparkContext.broadcast([grow(at[order], total, SEED + t, threshold) for t in range(trees)])
+        sent = spark.sparkContext.broadcast([grow(at[order], total, SEED + t, threshold, leaf, side) for t in range(trees)])
         dealt = alike.mapInArrow(_deal(sent, dim), schema)
-        found = found.unionByName(ws.save(dealt.groupBy("tree", "leaf", "i", "j").applyInArrow(_compare(threshold), "kind int, a long, b long"), f"found{dim}"))
+        found = found.unionByName(ws.save(dealt.groupBy("tree", "leaf", "i", "j").applyInArrow(_compare(threshold, dim), "kind int, a long, b long"), f"found{dim}"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("links"))
     edges = found.where("kind = 1").select("a", "b")
     # an id with several vectors holds their kinds together

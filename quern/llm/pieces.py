@@ -10,7 +10,9 @@ text is that of its words in a row, and a word's path is kept for the next time
 
 Decoding is the exact inverse: ``decode(encode(text)) == text`` for every text.  For this the
 character that stands for a blank in pieces (U+2581), where a text itself holds it, is written
-as bytes.  Null texts count as empty and have no ids.
+as bytes.  Null texts count as empty and have no ids, null and repeated ids are rows like others, an
+empty table gives an empty result, and of the input the named columns are kept, whatever they are
+called.
 """
 
 from __future__ import annotations

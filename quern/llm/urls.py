@@ -9,7 +9,9 @@ path lengths that they have; a hit counts only if the stored string equals the p
 
 The longest fitting rule wins; of equally long ones that with the longer host.  A url that no
 rule fits gets the filter's default.  Null urls, and urls without ``://``, have empty host and
-path, which no rule fits.  Empty tables and empty rule lists are allowed.
+path, which no rule fits.  Empty tables and empty rule lists are allowed, urls of any length are
+judged whole, and repeated rows each for itself.  Input columns that are named like an added one
+are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.labelled import fresh
 from quern.sources.workspace import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -169,8 +172,13 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], ws: Work
             rule, verdict = array.judge(host.cast(pa.binary()).to_pylist(), path.cast(pa.binary()).to_pylist())
             yield pa.StructArray.from_arrays([pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["rule", "verdict"])
 
-    told = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("_told", judged("host", "path"))
-    return told.withColumn("rule", F.col("_told.rule")).withColumn("verdict", F.coalesce("_told.verdict", F.lit(default))).drop("_told")
+    names = []
+    for c in ("_host", "_path", "_told"):
+        names.append(fresh([*pages.columns, *names], c))
+    h, p, t = names
+    told = pages.withColumn(h, host_of(F.col(url))).withColumn(p, path_of(F.col(url))).withColumn(t, judged(h, p))
+    added = {"host": F.col(h), "path": F.col(p), "rule": F.col(t)["rule"], "verdict": F.coalesce(F.col(t)["verdict"], F.lit(default))}
+    return told.select(*(F.col(f"`{c}`") for c in pages.columns if c not in added), *(e.alias(c) for c, e in added.items()))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
