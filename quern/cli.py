@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import evaluate
 from quern.operators.index import Index, build_index, read_index, validate, write_index
-from quern.operators.search import SearchOptions, parse_class, parse_hot_mode, parse_ks, parse_thresholds, query_metrics
+from quern.operators.search import METRICS, SearchOptions, parse_class, parse_hot_mode, parse_ks, parse_thresholds, query_metrics
 from quern.sources import sequences as io
 from quern.sources import synthetic
 from quern.sources.shipping import ship
@@ -107,12 +107,16 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "build":
         print(f"distinct seeds: {_build(spark, a).dictionary.count()}")
     elif a.command == "query":
-        metrics = query_metrics(read_index(spark, a.index), _queries(spark, a.queries), _options(a))
+        asked = io.read_sequences(spark, a.queries)
+        metrics = query_metrics(read_index(spark, a.index, check=True), asked.select(F.col("name").alias("query_id"), "sequence"), _options(a))
+        # results in the order of the input
+        place = asked.groupBy(F.col("name").alias("query_id")).agg(F.min("document_id").alias("_place"))
+        metrics = metrics.join(place, "query_id").orderBy("_place").select(*METRICS)
         (io.write_metrics_jsonl if a.format == "jsonl" else io.write_metrics_tsv)(metrics, a.output)
     elif a.command == "dump":
         io.dump(read_index(spark, a.index), a.output)
     elif a.command == "validate":
-        index = read_index(spark, a.index)
+        index = read_index(spark, a.index, check=True)
         wrong = validate(index)
         print("\n".join(wrong) or f"sound; distinct seeds: {index.dictionary.count()}")
         return int(bool(wrong))

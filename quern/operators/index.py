@@ -1,6 +1,6 @@
 """The multi-k index: occurrences, postings and dictionary as DataFrames, and their tables.
 
-One shuffle, on (k, seed), serves both postings and dictionary.  Texts are dealt anew before
+Postings are shuffled once, by seed and range of documents, for the dictionary.  Texts are dealt anew before
 windows are cut, so that a large file split does not make all windows in one task.
 """
 
@@ -16,6 +16,10 @@ from quern.functions import bases as B
 
 DEFAULT_THRESHOLDS = (2, 16, 128)
 FORMAT_VERSION = 1
+#: Documents of a range of a seed's postings.
+PART = 65_536
+#: Words that are cut from one piece of a sequence.
+PIECE = 256
 
 
 def check_thresholds(thresholds) -> tuple[int, int, int]:
@@ -37,10 +41,13 @@ def windows(seqs: DataFrame, ks, sequence: str = "sequence") -> DataFrame:
     """All words of every size that hold bases only, with 0-based positions: adds ``k, position, word``."""
     out = None
     for k in check_ks(ks):
-        starts = F.when(F.length(sequence) >= k, F.sequence(F.lit(0), F.length(sequence) - k))
-        cut = seqs.withColumn(sequence, B.normal(F.col(sequence))).withColumn("position", F.explode(starts.cast("array<long>")))
-        cut = cut.withColumn("k", F.lit(k)).withColumn("word", F.substring(F.col(sequence), (F.col("position") + 1).cast("int"), F.lit(k))).drop(sequence)
-        cut = cut.where(B.is_kmer(F.col("word")))
+        # a word is cut from a piece of its sequence: a place in a string is found by counting from its start
+        starts = F.when(F.length(sequence) >= k, F.sequence(F.lit(0).cast("long"), F.length(sequence).cast("long") - k, F.lit(PIECE).cast("long")))
+        cut = seqs.withColumn(sequence, B.normal(F.col(sequence))).withColumn("_base", F.explode(starts))
+        cut = cut.withColumn(sequence, F.substring(F.col(sequence), (F.col("_base") + 1).cast("int"), F.lit(PIECE + k - 1))).where(F.col(sequence).rlike(f"[ACGT]{{{k}}}"))
+        cut = cut.withColumn("_clean", B.is_kmer(F.col(sequence))).withColumn("_at", F.explode(F.sequence(F.lit(0), F.length(sequence) - k)))
+        cut = cut.withColumn("k", F.lit(k)).withColumn("word", F.substring(F.col(sequence), F.col("_at") + 1, F.lit(k))).withColumn("position", F.col("_base") + F.col("_at"))
+        cut = cut.where(F.col("_clean") | B.is_kmer(F.col("word"))).drop(sequence, "_clean", "_base", "_at")
         if k == B.MAX_K:
             # the code of T x 32 is the mark of no code, so poly-A and poly-T of that size are no seeds
             cut = cut.where(~F.col("word").isin("A" * k, "T" * k))
@@ -74,10 +81,26 @@ def posting_sizes(postings: DataFrame) -> DataFrame:
 
 
 def dictionary_of(postings: DataFrame, thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
-    """``k, seed, document_frequency, collection_frequency, estimated_posting_bytes, frequency_class``."""
-    order = Window.partitionBy("k", "seed").orderBy("document_id", "sequence_id", "position", "strand")
-    sized = posting_sizes(postings).withColumn("_new", (F.coalesce(F.lag("document_id").over(order) != F.col("document_id"), F.lit(True))).cast("long"))
-    grouped = sized.groupBy("k", "seed").agg(F.sum("_new").alias("document_frequency"), F.count("*").alias("collection_frequency"), F.sum("bytes").alias("estimated_posting_bytes"))
+    """``k, seed, document_frequency, collection_frequency, estimated_posting_bytes, frequency_class``.
+
+    A seed's postings are sized by ranges of ``PART`` documents, so that a seed of the whole corpus
+    is many rows of many tasks; only one row for each range is brought together, which adds the
+    step from the range before.
+    """
+    own = ["k", "seed", "_part"]
+    rows = postings.withColumn("_part", F.floor(F.col("document_id") / F.lit(PART)))
+    order = Window.partitionBy(*own).orderBy("document_id", "sequence_id", "position", "strand")
+    rows = rows.withColumns({f"_{c}": F.lag(c).over(order) for c in ("document_id", "sequence_id", "position")})
+    first = F.col("_document_id").isNull()
+    same_doc = F.coalesce(F.col("document_id") == F.col("_document_id"), F.lit(False))
+    same_seq = same_doc & (F.col("sequence_id") == F.col("_sequence_id"))
+    doc = F.when(first, 0).otherwise(B.varint_length(F.col("document_id") - F.col("_document_id")))
+    seq = B.varint_length(F.when(same_doc, F.col("sequence_id") - F.col("_sequence_id")).otherwise(F.col("sequence_id")))
+    pos = B.varint_length(F.when(same_seq, F.col("position") - F.col("_position")).otherwise(F.col("position")))
+    parts = rows.groupBy(*own).agg(F.sum((~same_doc).cast("long")).alias("df"), F.count("*").alias("cf"), F.sum((doc + seq + pos + 1).cast("long")).alias("bytes"), F.min("document_id").alias("low"), F.max("document_id").alias("high"))
+    before = F.coalesce(F.lag("high").over(Window.partitionBy("k", "seed").orderBy("_part")), F.lit(0))
+    parts = parts.withColumn("bytes", F.col("bytes") + B.varint_length(F.col("low") - before))
+    grouped = parts.groupBy("k", "seed").agg(F.sum("df").alias("document_frequency"), F.sum("cf").alias("collection_frequency"), F.sum("bytes").alias("estimated_posting_bytes"))
     return grouped.withColumn("frequency_class", B.frequency_class(F.col("collection_frequency"), check_thresholds(thresholds)))
 
 
@@ -94,6 +117,8 @@ class Index:
     source: str = ""
     checksum: str = ""
     command: str = ""
+    #: Whether the dictionary is worked out from the postings anew each time.
+    lazy: bool = False
     extra: dict = field(default_factory=dict)
 
     def lookup(self, seeds: DataFrame, how: str = "inner") -> DataFrame:
@@ -104,6 +129,10 @@ class Index:
         """Postings of ``seeds(k, seed)``."""
         return seeds.join(self.postings, ["k", "seed"])
 
+    def header(self) -> dict:
+        """What the manifest tells of an index."""
+        return {"version": FORMAT_VERSION, "document_count": self.document_count, "ks": self.ks, "thresholds": list(self.thresholds), "source": self.source, "checksum": self.checksum, "command": self.command}
+
     def describe(self) -> DataFrame:
         """One row for each layer: seeds, postings, bytes, largest frequencies, seeds of each class."""
         cls = F.col("frequency_class")
@@ -113,8 +142,10 @@ class Index:
         )
 
 
-def build_index(sequences: DataFrame, ks, thresholds=DEFAULT_THRESHOLDS, partitions: int | None = None, **about) -> Index:
-    """Index ``sequences(document_id, sequence_id, name, sequence)`` for all sizes ``ks``."""
+def build_index(sequences: DataFrame, ks, thresholds=DEFAULT_THRESHOLDS, partitions: int | None = None, family: str = "kmer", **about) -> Index:
+    """Index ``sequences(document_id, sequence_id, name, sequence)`` for all sizes ``ks``; k-mers are the only seed family."""
+    if family != "kmer":
+        raise ValueError(f"seeds of this family are not made: {family}")
     ks, thresholds = check_ks(ks), check_thresholds(thresholds)
     spark = sequences.sparkSession
     seqs = sequences.select("document_id", "sequence_id", "name", "sequence")
@@ -122,7 +153,7 @@ def build_index(sequences: DataFrame, ks, thresholds=DEFAULT_THRESHOLDS, partiti
     postings = occurrences(dealt, ks).select("k", "seed", "document_id", "sequence_id", "position", "strand")
     about.setdefault("document_count", seqs.select("document_id").distinct().count())
     meta = seqs.select("document_id", "sequence_id", "name", F.length("sequence").cast("long").alias("length"))
-    return Index(meta, dictionary_of(postings, thresholds), postings, ks=ks, thresholds=thresholds, **about)
+    return Index(meta, dictionary_of(postings, thresholds), postings, ks=ks, thresholds=thresholds, lazy=True, **about)
 
 
 def write_index(index: Index, path: str) -> Index:
@@ -136,13 +167,27 @@ def write_index(index: Index, path: str) -> Index:
     postings = spark.read.schema(schema).parquet(f"{path}/postings")
     dictionary_of(postings, index.thresholds).sortWithinPartitions("k", "seed").write.mode("overwrite").partitionBy("k").parquet(f"{path}/dictionary")
     counts = {str(r["k"]): [r["n"], r["cf"]] for r in spark.read.parquet(f"{path}/dictionary").groupBy("k").agg(F.count("*").alias("n"), F.sum("collection_frequency").alias("cf")).collect()}
-    manifest = {"version": FORMAT_VERSION, "document_count": index.document_count, "ks": index.ks, "thresholds": list(index.thresholds), "source": index.source, "checksum": index.checksum, "command": index.command, "counts": counts}
+    if set(counts) != {str(k) for k in index.ks}:
+        raise ValueError(f"layers without seeds: {sorted(set(index.ks) - {int(k) for k in counts})}")
+    manifest = {"sums": {t: _sum_of(spark, path, t) for t in TABLES}, "version": FORMAT_VERSION, "document_count": index.document_count, "ks": index.ks, "thresholds": list(index.thresholds), "source": index.source, "checksum": index.checksum, "command": index.command, "counts": counts}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return read_index(spark, path)
 
 
-def read_index(spark: SparkSession, path: str, ks=None, cache: bool = False) -> Index:
-    """An index as written; ``ks`` reads those layers only, ``cache`` keeps its tables in memory or on disk."""
+TABLES = ("sequences", "dictionary", "postings")
+
+
+def _sum_of(spark: SparkSession, path: str, table: str) -> str:
+    """A sum over all rows' hashes, whatever their order."""
+    rows = spark.read.parquet(f"{path}/{table}")
+    return str(rows.agg(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))).first()[0])
+
+
+def read_index(spark: SparkSession, path: str, ks=None, cache: bool = False, check: bool = False) -> Index:
+    """An index as written; ``ks`` reads those layers only, ``cache`` keeps its tables in memory or on disk.
+
+    ``check`` reads all tables and compares them with the sums in the manifest.
+    """
     rows = spark.read.text(f"{path}/manifest").collect()
     try:
         m = json.loads(rows[0][0])
@@ -150,6 +195,9 @@ def read_index(spark: SparkSession, path: str, ks=None, cache: bool = False) ->
         raise ValueError(f"no manifest in {path}") from e
     if m.get("version") != FORMAT_VERSION or not m.get("ks"):
         raise ValueError(f"unknown index version or no layer: {m.get('version')}")
+    wrong = [t for t in TABLES if check and _sum_of(spark, path, t) != m["sums"][t]]
+    if wrong:
+        raise ValueError(f"damaged tables: {', '.join(wrong)}")
     own = check_ks(ks) if ks else m["ks"]
     if not set(own) <= set(m["ks"]):
         raise ValueError(f"no such layer: {sorted(set(own) - set(m['ks']))}")

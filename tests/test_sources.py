@@ -56,6 +56,34 @@ def test_nameless_records(spark, tmp_path):
         io.read_fasta(spark, str(path), strict=True)
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("\n\n>a\nAC\n\nGT\n", [("a", "ACGT")]),
+        ("TT\nG\n>a\nAC\n", [("a", "TTGAC")]),
+        (">>b\nAC\n>>>c\nG\n", [(">b", "AC"), (">>c", "G")]),
+        (">a\nA\n>\nC\n>\nG\n>b\nT\n>\nAAA\n", [("a", "A"), ("b", "CGT")]),
+        (">a\n>b", [("a", ""), ("b", "")]),
+        (">a x\r\nAC\r\n", [("a x\r", "AC\r")]),
+    ],
+)
+def test_fasta_edges(spark, tmp_path, text, want):
+    path = tmp_path / "e.fa"
+    path.write_bytes(text.encode())
+    assert _rows(io.read_fasta(spark, str(path)), "document_id", "name", "sequence") == [(i, *w) for i, w in enumerate(want)]
+    if not text.startswith(("TT", ">a\nA")):
+        io.read_fasta(spark, str(path), strict=True).count()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 3])
+def test_fastq_blank_lines(spark, tmp_path, monkeypatch, block):
+    """Blank lines where a header is due are skipped, others are lines of the record."""
+    monkeypatch.setattr(io, "BLOCK", block)
+    path = tmp_path / "b.fq"
+    path.write_bytes(b"\n\n@a\nAC\n+\n!!\n\n@b\n\n+\n\n\n\n@c\nG\n+x\n#\n@d\nT\r\n+\n#\r\n\n")
+    assert _rows(io.read_sequences(spark, str(path)), "document_id", "name", "sequence") == [(0, "a", "AC"), (1, "b", ""), (2, "c", "G"), (3, "d", "T\r")]
+
+
 @pytest.mark.parametrize("text,error", [("@a\nAC\n+\n!!\n@b\nGT\n+\n##\n", None), ("@a\nAC\n+\n!\n", "length"), ("@a\nAC\nx\n!!\n", "plus"), ("@a\nAC\n+\n!!\nb\nGT\n+\n##\n", "header"), ("@a\nAC\n", "truncated")])
 def test_fastq(spark, tmp_path, text, error):
     path = tmp_path / "q.fq"
@@ -159,3 +187,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["bench", at("g/refs.fa"), at("g/queries.fa"), at("b"), at("o"), "--truth", at("g/truth.tsv"), "--k", "11", "--repeats", "2"]) == 0
     found = json.loads(spark.read.text(at("o/summary")).first()[0])
     assert found["metrics"]["query_runs"] == 24 and found["metrics"]["recall_at_10"] == 1.0 and found["early_stop_mode"] == "off"
+
+
+def test_damaged_index(spark, refs, tmp_path):
+    import glob
+
+    from quern.operators.index import build_index, read_index, write_index
+
+    path = str(tmp_path / "index")
+    index = write_index(build_index(io.read_fasta(spark, refs), [5, 7]), path)
+    assert index.header()["ks"] == [5, 7] and read_index(spark, path, check=True).ks == [5, 7]
+    spark.read.parquet(f"{path}/postings").where("k = 5").limit(1).drop("k").write.mode("append").parquet(f"{path}/postings/k=5")
+    with pytest.raises(ValueError, match="postings"):
+        read_index(spark, path, check=True)
+    with pytest.raises(ValueError, match="without seeds"):
+        write_index(build_index(io.read_fasta(spark, refs), [5, 32]), str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="family"):
+        build_index(io.read_fasta(spark, refs), [5], family="syncmer")
+    assert glob.glob(f"{path}/manifest/*")
