@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textblock as tb
 from quern.llm.labelled import logistic, remainder, sigmoid, training_labels
-from quern.sources.workspace import Workspace
+from quern.sources.workspace import Workspace, freed_shuffles
 
 #: Chosen by four-fold cross-validation inside the training fold of sf0.1 (see the README).
 WINDOW = 2
@@ -308,7 +308,8 @@ def fit_tables(documents: DataFrame, ws: Workspace, word_discount: float = WORD_
     buckets = max(16, 3 * documents.rdd.getNumPartitions() // 4)
     rows = "bucket int, size long, runs binary"
     triples = documents.where("role IS NOT NULL").mapInArrow(_runs(buckets, True, flush), rows)
-    pairs = triples.groupBy("bucket").applyInArrow(_told(pair_discount), TOLD).toArrow()
+    with freed_shuffles(documents.sparkSession):  # triples go before pairs are shuffled
+        pairs = triples.groupBy("bucket").applyInArrow(_told(pair_discount), TOLD).toArrow()
     wanted = documents.sparkSession.sparkContext.broadcast(np.unique(pairs["word"].to_numpy()).view(np.uint64))
     followed = documents.mapInArrow(_runs(buckets, False, flush), rows).groupBy("bucket")
     counts = ws.save(followed.applyInArrow(_followed(word_discount, wanted), "variant int, word long, ordinary long, toxic long, everywhere long, n long"), "counts")
