@@ -41,7 +41,7 @@ PAIR_DISCOUNT = 8.0
 #: Documents of each class that the curve is fitted on, at most.
 PER_CLASS = 750
 #: Words that a task gathers before it packs their runs.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Labelled rows that are sent to the documents rather than the documents to them.
 BROADCAST_ROWS = 2_000_000
 #: Roles of ordinary and of toxic rows, without and with those held back for the curve.
