@@ -26,13 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textblock as tb
 from quern.llm.labelled import logistic, remainder, sigmoid, training_labels
-from quern.sources.workspace import Workspace, freed_shuffles
+from quern.sources.workspace import Workspace
 
 #: Chosen by four-fold cross-validation inside the training fold of sf0.1 (see the README).
 WINDOW = 2
@@ -274,46 +273,47 @@ def _followed(discount: float, wanted):
     return count
 
 
-def _tables(pairs: pa.Table, counts: DataFrame, variant: int, discount: float) -> dict:
-    """The model's tables of one variant; of each word one number comes to the driver."""
-    counts = counts.where(F.col("variant") == variant)
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of ``key long, llr float``, by key; 12 bytes a row come to the driver."""
+    table = rows.select("key", F.col("llr").cast("float").alias("llr")).toArrow()
+    keys = table["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table["llr"].to_numpy()[order]
+
+
+def _tables(pairs: DataFrame, counts: DataFrame, variant: int, discount: float) -> dict:
+    """The model's tables of one variant; of each word, pair and context one number comes to the driver."""
+    pairs, counts = (x.where(F.col("variant") == variant) for x in (pairs, counts))
     left = lambda c: F.greatest(F.col(c) - discount, F.lit(0.0))
     sums = counts.agg(*(F.sum(F.col("n") * x) for c in ("ordinary", "toxic") for x in (F.col(c).cast("double"), left(c))), F.sum("everywhere").cast("double"), F.sum("n").cast("double")).first()
     total, kept, (every, kinds) = [sums[0] or 0.0, sums[2] or 0.0], [sums[1] or 0.0, sums[3] or 0.0], [x or 0.0 for x in sums[4:]]
     fall = [1 - k / n if n else 1.0 for k, n in zip(kept, total, strict=True)]
+    unknown = math.log(fall[1] / fall[0])
     shared = (F.col("everywhere") + 0.5) / F.lit(every + 0.5 * (kinds + 1))
     prob = [left(c) / F.lit(max(1.0, n)) + shared * f for c, n, f in zip(("ordinary", "toxic"), total, fall, strict=True)]
-    own = counts.where("word IS NOT NULL").select("word", F.log(prob[1] / prob[0]).cast("float").alias("llr"), prob[0].alias("p0"), prob[1].alias("p1"))
-    listed = own.where(F.abs(F.col("llr") - math.log(fall[1] / fall[0])) > 1e-6).select("word", "llr").toArrow()
-    words = listed["word"].to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    out = {"words": words[order], "word_llr": listed["llr"].to_numpy()[order], "unknown": math.log(fall[1] / fall[0])}
-    asked = counts.sparkSession.createDataFrame(pa.table({"word": pc.unique(pairs["word"])}))
-    few = own.join(F.broadcast(asked), "word").select("word", "p0", "p1").toArrow().sort_by("word")  # one row for each word of a kept pair
-    at = np.searchsorted(few["word"].to_numpy(), pairs["word"].to_numpy())
-    fell, mine = ([pairs[f"{x}{c}"].to_numpy() for c in (0, 1)] for x in ("fall", "own"))
-    joint = [mine[c] + fell[c] * few[f"p{c}"].to_numpy()[at] for c in (0, 1)]
-    keys = pairs["pair"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    contexts, first = np.unique(pairs["context"].to_numpy().view(np.uint64), return_index=True)
-    f32 = lambda a: a.astype(np.float32)
-    return out | {"pairs": keys[order], "pair_llr": f32(np.log(joint[1] / joint[0]))[order], "contexts": contexts, "context_llr": f32(np.log(fell[1] / fell[0]))[first]}
+    own = counts.where("word IS NOT NULL").select("word", F.log(prob[1] / prob[0]).alias("llr"), prob[0].alias("p0"), prob[1].alias("p1"))
+    joint = [F.col(f"own{c}") + F.col(f"fall{c}") * F.col(f"p{c}") for c in (0, 1)]
+    words = _sorted(own.where(F.abs(F.col("llr") - unknown) > 1e-6).select(F.col("word").alias("key"), "llr"))
+    kept_pairs = _sorted(pairs.join(own, "word").select(F.col("pair").alias("key"), F.log(joint[1] / joint[0]).alias("llr")))
+    contexts = _sorted(pairs.groupBy(F.col("context").alias("key")).agg(F.max(F.log(F.col("fall1") / F.col("fall0"))).alias("llr")))
+    return dict(zip(("words", "word_llr", "pairs", "pair_llr", "contexts", "context_llr"), (*words, *kept_pairs, *contexts), strict=True)) | {"unknown": unknown}
 
 
 def fit_tables(documents: DataFrame, ws: Workspace, word_discount: float = WORD_DISCOUNT, pair_discount: float = PAIR_DISCOUNT, flush: int = FLUSH) -> list[dict]:
     """Both variants' tables from all rows of ``text, role``, counted where the rows are.
 
-    What comes to the driver are the words and pairs that are left after discounting.
+    What comes to the driver are the keys and ratios of what is left after discounting.
     """
     buckets = max(16, 3 * documents.rdd.getNumPartitions() // 4)
     rows = "bucket int, size long, runs binary"
     triples = documents.where("role IS NOT NULL").mapInArrow(_runs(buckets, True, flush), rows)
-    with freed_shuffles(documents.sparkSession):  # triples go before pairs are shuffled
-        pairs = triples.groupBy("bucket").applyInArrow(_told(pair_discount), TOLD).toArrow()
-    wanted = documents.sparkSession.sparkContext.broadcast(np.unique(pairs["word"].to_numpy()).view(np.uint64))
+    pairs = ws.save(triples.groupBy("bucket").applyInArrow(_told(pair_discount), TOLD), "pairs")  # triples go before pairs are shuffled
+    wanted = documents.sparkSession.sparkContext.broadcast(pairs.select("word").distinct().toArrow()["word"].to_numpy().view(np.uint64))
     followed = documents.mapInArrow(_runs(buckets, False, flush), rows).groupBy("bucket")
     counts = ws.save(followed.applyInArrow(_followed(word_discount, wanted), "variant int, word long, ordinary long, toxic long, everywhere long, n long"), "counts")
-    return [_tables(pairs.filter(pc.equal(pairs["variant"], v)), counts, v, word_discount) for v in range(len(VARIANTS))]
+    tables = [_tables(pairs, counts, v, word_discount) for v in range(len(VARIANTS))]
+    ws.drop("pairs", "counts")
+    return tables
 
 
 def with_roles(documents: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, float]:
