@@ -66,7 +66,7 @@ def test_postings_are_not_read(tables):
     assert rows_of(search(unread(index), queries, OPTIONS[0], 6)) == rows_of(search(written, queries, OPTIONS[0], 6))
 
 
-@pytest.mark.parametrize("name", ["search_topk", "search_max_candidates", "search_max_seeds"])
+@pytest.mark.parametrize("name", ["search_topk", "search_max_candidates", "search_max_seeds", "conservative_stop_flag"])
 def test_queries(spark, name, monkeypatch):
     duckdb = pytest.importorskip("duckdb")
     index_of = catalog._index
